@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeshift.llm.canonical import map_values
+from lodeshift.llm.names import resolve_names, variant_pairs
 from lodeshift.llm.sentences import sentences
 from lodeshift.llm.tokens import TOKENIZERS, encode_corpus
 from lodeshift.session import shuffle_width, table
@@ -37,3 +38,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    employers = table(spark, sf_dir, "experience").select(F.lit("employer").alias("field"), F.col("employer").alias("name"))
+    schools = table(spark, sf_dir, "education").select(F.lit("institution").alias("field"), F.col("institution").alias("name"))
+    aliases = [(r["alias"], r["canonical"]) for r in table(spark, sf_dir, "employer_aliases").where("alias is not null and canonical is not null").collect()]
+    suffixes = [r["suffix"] for r in table(spark, sf_dir, "legal_suffixes").where("suffix is not null").collect()]
+    return variant_pairs(resolve_names(employers.unionByName(schools), aliases, suffixes))
