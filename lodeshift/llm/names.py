@@ -161,7 +161,8 @@ def _profiles(names: DataFrame, aliases: list[tuple[str, str]], suffixes: list[s
                 loose = " ".join(regex.findall(r"[\p{L}\p{N}]+", flat(name).lower()))
                 said = known[field].get(loose) or known[field].get(whole) or known[field].get(" ".join(core))
                 rows.append((field, name, core, trade, said))
-            yield pd.DataFrame(rows, columns=["field", "name", "core", "trade", "known"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["field", "name", "core", "trade", "known"])
 
     return names.mapInPandas(parse, "field string, name string, core array<string>, trade string, known string")
 
@@ -172,7 +173,8 @@ def _blocks(profiles: DataFrame, wide: bool) -> DataFrame:
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(f, k, i) for f, i, core, trade in zip(pdf["field"], pdf["id"], pdf["core"], pdf["trade"]) for k in keys(list(core), trade, wide)]
-            yield pd.DataFrame(rows, columns=["field", "key", "id"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["field", "key", "id"])
 
     return profiles.select("field", "id", "core", "trade").distinct().mapInPandas(spell, "field string, key string, id string")
 

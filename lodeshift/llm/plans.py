@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lodeshift.llm.canonical import map_values
 from lodeshift.llm.names import resolve_names, variant_pairs
+from lodeshift.llm.pii import find_pii, redact_pii
+from lodeshift.llm.scans import find_noise, reflow, wrong_glyphs
 from lodeshift.llm.sentences import sentences
 from lodeshift.llm.tokens import TOKENIZERS, encode_corpus
-from lodeshift.session import shuffle_width, table
+from lodeshift.session import latest, shuffle_width, table
 
 TOKENIZER_DIR = os.environ.get("LODESHIFT_TOKENIZERS", TOKENIZERS)
 
@@ -46,3 +48,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = [(r["alias"], r["canonical"]) for r in table(spark, sf_dir, "employer_aliases").where("alias is not null and canonical is not null").collect()]
     suffixes = [r["suffix"] for r in table(spark, sf_dir, "legal_suffixes").where("suffix is not null").collect()]
     return variant_pairs(resolve_names(employers.unionByName(schools), aliases, suffixes))
+
+
+def _scan_noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    columns = ("candidate_id", "page", "line_no", "text", "x0", "top", "font_size", "method")
+    blocks = latest(table(spark, sf_dir, "line_blocks"), "block_id", *columns)
+    experience = table(spark, sf_dir, "experience").select("employer", "title", "location", F.concat_ws(" ", "bullets").alias("bullets"), "start_date", "end_date")
+    resumes = table(spark, sf_dir, "resumes").select("full_name", "summary", "skills", F.regexp_replace("email", r"[@._+0-9-]+", " ").alias("mail"))
+    education = table(spark, sf_dir, "education").select("institution", "field")
+    texts = [df.select(F.explode(F.array(*df.columns)).alias("text")) for df in (experience, resumes, education)]
+    clean = texts[0].unionByName(texts[1]).unionByName(texts[2]).where("text is not null")
+    return blocks, find_noise(spread(blocks), clean)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, noise = _scan_noise(spark, sf_dir)
+    glyphs = wrong_glyphs(table(spark, sf_dir, "glyphs"), blocks, noise["wrong"])
+    return (
+        noise["kinds"].select(F.lit("line_blocks").alias("origin"), F.col("block_id").alias("row_id"), "kind")
+        .unionByName(glyphs.select(F.lit("glyphs").alias("origin"), F.col("glyph_id").alias("row_id"), F.lit("misread").alias("kind")))
+    )
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reflow(_scan_noise(spark, sf_dir)[1])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = latest(table(spark, sf_dir, "line_blocks"), "block_id", "text", "font_size")
+    return find_pii(spread(blocks), "block_id", "text", "font_size").select("block_id", "pii_type", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = latest(table(spark, sf_dir, "line_blocks"), "block_id", "text", "font_size")
+    return redact_pii(spread(blocks), "block_id", "text", "font_size")
