@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeshift.llm.canonical import map_values
+from lodeshift.llm.mixing import balanced_mix, shares
 from lodeshift.llm.names import resolve_names, variant_pairs
 from lodeshift.llm.pii import find_pii, redact_pii
 from lodeshift.llm.scans import find_noise, reflow, wrong_glyphs
 from lodeshift.llm.sentences import sentences
-from lodeshift.llm.tokens import TOKENIZERS, encode_corpus
+from lodeshift.llm.tokens import TOKENIZERS, count_tokens, encode_corpus
 from lodeshift.session import latest, shuffle_width, table
 
 TOKENIZER_DIR = os.environ.get("LODESHIFT_TOKENIZERS", TOKENIZERS)
@@ -82,3 +83,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = latest(table(spark, sf_dir, "line_blocks"), "block_id", "text", "font_size")
     return redact_pii(spread(blocks), "block_id", "text", "font_size")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = documents.select("doc_id", "source", count_tokens(documents, "text", TOKENIZER_DIR).alias("tokens"))
+    targets = table(spark, sf_dir, "mix_targets")
+    return balanced_mix(docs, targets), targets
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(*_mix(spark, sf_dir))
