@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeshift.plans import problems
+from lodeshift.plans.registry import QUERIES, SQL
+
+for _name in ("scoring", "problems"):
+    import_module(f"lodeshift.plans.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p1_found(spark, sf_dir)
+    return QUERIES["flagship_shortlist"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": problems.p1_found, "p6_found": problems.p6_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeshift.functions.dates import typed_month, yyyymm
 from lodeshift.operators.intervals import merge_intervals
 from lodeshift.operators.packed import split_packed
+from lodeshift.plans.registry import query
 from lodeshift.session import latest, table
 
 NOW = 202608
@@ -27,6 +28,7 @@ def month_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.unionByName(typed)
 
 
+@query()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = merge_intervals(month_intervals(spark, sf_dir), ["origin", "candidate_id"], "s", "e")
     return merged.select("origin", "candidate_id", "kind", yyyymm(F.col("from")).alias("from_month"), yyyymm(F.col("to")).alias("to_month"))
@@ -38,6 +40,7 @@ def known_skills(spark: SparkSession, sf_dir: str) -> list[str]:
     return [r["n"] for r in names.where("n is not null").distinct().collect()]
 
 
+@query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = known_skills(spark, sf_dir)
     fields = latest(table(spark, sf_dir, "resumes"), "candidate_id", "skills")
