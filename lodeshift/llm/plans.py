@@ -51,20 +51,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(resolve_names(employers.unionByName(schools), aliases, suffixes))
 
 
-def _scan_noise(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    columns = ("candidate_id", "page", "line_no", "text", "x0", "top", "font_size", "method")
-    blocks = latest(table(spark, sf_dir, "line_blocks"), "block_id", *columns)
+def _scan_noise(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     experience = table(spark, sf_dir, "experience").select("employer", "title", "location", F.concat_ws(" ", "bullets").alias("bullets"), "start_date", "end_date")
     resumes = table(spark, sf_dir, "resumes").select("full_name", "summary", "skills", F.regexp_replace("email", r"[@._+0-9-]+", " ").alias("mail"))
     education = table(spark, sf_dir, "education").select("institution", "field")
     texts = [df.select(F.explode(F.array(*df.columns)).alias("text")) for df in (experience, resumes, education)]
     clean = texts[0].unionByName(texts[1]).unionByName(texts[2]).where("text is not null")
-    return blocks, find_noise(spread(blocks), clean)
+    return find_noise(table(spark, sf_dir, "line_blocks"), clean)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, noise = _scan_noise(spark, sf_dir)
-    glyphs = wrong_glyphs(table(spark, sf_dir, "glyphs"), blocks, noise["wrong"])
+    noise = _scan_noise(spark, sf_dir)
+    glyphs = wrong_glyphs(table(spark, sf_dir, "glyphs"), noise["marked"], noise["wrong"])
     return (
         noise["kinds"].select(F.lit("line_blocks").alias("origin"), F.col("block_id").alias("row_id"), "kind")
         .unionByName(glyphs.select(F.lit("glyphs").alias("origin"), F.col("glyph_id").alias("row_id"), F.lit("misread").alias("kind")))
@@ -72,7 +70,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reflow(_scan_noise(spark, sf_dir)[1])
+    return reflow(_scan_noise(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

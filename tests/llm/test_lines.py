@@ -44,7 +44,7 @@ def test_explained(read, printed, spans):
     assert explain(read, printed) == spans
 
 
-SCHEMA = "block_id long, candidate_id string, page int, line_no int, text string, x0 double, top double, font_size double, method string"
+SCHEMA = "block_id long, candidate_id string, page int, line_no int, text string, x0 double, top double, font_size double, method string, loaded_at timestamp"
 
 
 def test_noise_of_pages(spark):
@@ -57,8 +57,8 @@ def test_noise_of_pages(spark):
         for k, text in enumerate(lines, 1):
             n += 1
             edge = k in (1, 5)
-            rows.append((n, "c", p, k, text, 250.0 if edge else 50.0, 10.0 * k, 8.0 if edge else 10.0, "ocr"))
-    rows.append((99, None, None, None, "lost line", None, None, None, None))
+            rows.append((n, "c", p, k, text, 250.0 if edge else 50.0, 10.0 * k, 8.0 if edge else 10.0, "ocr", None))
+    rows += [(99, None, None, None, "lost line", None, None, None, None, None), rows[1]]
     clean = spark.createDataFrame([("we managed the regulatory laboratory in the night-shift with refrigerated goods and programmes old line",)] * 9 + [(None,)], "text string")
     noise = find_noise(spark.createDataFrame(rows, SCHEMA), clean)
     kinds = {(r.block_id, r.kind) for r in noise["kinds"].collect()}
