@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeshift.plans.registry import QUERIES, SQL
 
-for _name in ("scoring", "statistics", "problems"):
+for _name in ("scoring", "statistics", "sources", "problems"):
     import_module(f"lodeshift.plans.{_name}")
 
 

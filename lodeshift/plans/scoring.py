@@ -100,7 +100,7 @@ def rated_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {P.CAND}, {P.ROLES}, {_TITLE_SQL}, rel as (select candidate_id, s, e, greatest(0e0,least(1e0,0.35e0*sim+0.2e0*(case when family='data_engineering' then 1e0 else 0.2e0 end))) relevance, case when employment_type='internship' then 0.5e0 else 1e0 end f from roles join tt using(title) where s<=e),
 mon as (select candidate_id, unnest(generate_series(year(s)*12+month(s)-1, year(e)*12+month(e)-1)) m, relevance, f from rel), bm as (select candidate_id, m, max(relevance) r, max(f) f from mon group by 1,2), y as (select candidate_id, sum(r*f)/12e0 n from bm group by 1)
-select c.candidate_id, round(coalesce(n,0),4) as years, round(case when coalesce(n,0)<1 then 40e0*coalesce(n,0) when n<2 then 40e0+30e0*(n-1) when n<=5 then 70e0+30e0*(n-2)/3e0 else 100e0 end,4) as value from cand c left join y using(candidate_id)""")
+select c.candidate_id, round(coalesce(n,0)+1e-9,4) as years, round(1e-9+case when coalesce(n,0)<1 then 40e0*coalesce(n,0) when n<2 then 40e0+30e0*(n-1) when n<=5 then 70e0+30e0*(n-2)/3e0 else 100e0 end,4) as value from cand c left join y using(candidate_id)""")
 def s4_experience(spark: SparkSession, d: str) -> DataFrame:
     rated = P.roles(spark, d).join(F.broadcast(rated_titles(spark, d)), "title")
     domain = F.when(F.col("family") == "data_engineering", 1.0).otherwise(0.2)
@@ -109,7 +109,7 @@ def s4_experience(spark: SparkSession, d: str) -> DataFrame:
     years = S.relevant_years(rated.select("candidate_id", "s", "e", relevance.alias("relevance"), factor.alias("factor")))
     n = F.coalesce("years", F.lit(0.0))
     value = X.years_score(n, F.lit(float(P.MIN_YEARS)), F.lit(float(P.TARGET_YEARS)))
-    return P.candidates(spark, d).select("candidate_id").join(years, "candidate_id", "left").select("candidate_id", F.round(n, 4).alias("years"), F.round(value, 4).alias("value"))
+    return P.candidates(spark, d).select("candidate_id").join(years, "candidate_id", "left").select("candidate_id", F.round(n + 1e-9, 4).alias("years"), F.round(value + 1e-9, 4).alias("value"))
 
 
 _REC6 = f"case when date_diff('day', e, date '{P.NOW}')<=0 then 1e0 else greatest(0.55e0, exp(-ln(2e0)*(date_diff('day', e, date '{P.NOW}')/365.2425e0)/6e0)) end"
