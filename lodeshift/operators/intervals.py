@@ -67,7 +67,8 @@ def _carry(rows: list) -> dict[int, tuple]:
     state, out = (None, NONE, NONE), {}
     for i, r in enumerate(rows):
         follows = rows[i + 1]["first"] if i + 1 < len(rows) else None
-        out[r["pid"]] = (*state, follows)
+        inherits = state[0] is not None and state[0] == r["first"]  # else that entity ended with the partition before
+        out[r["pid"]] = (*(state if inherits else (None, NONE, NONE)), follows)
         same = state[0] is not None and state[0] == r["last"]  # sorted: then the whole partition is this entity
         high, opened = (state[1], state[2]) if same else (NONE, NONE)
         state = (r["last"], max(high, r["high"]), r["opened"] if not same or r["opened"] > high + 1 else opened)

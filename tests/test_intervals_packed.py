@@ -41,6 +41,15 @@ def test_intervals_match_brute_force_with_a_hot_entity(spark, seed):
     assert {tuple(x) for x in got} == brute(rows)
 
 
+def test_no_period_twice_where_partitions_end_with_an_entity(spark):
+    rows = [(f"e{i:04d}", 10 * k, 10 * k + 3, "") for i in range(200) for k in range(1)]
+    for width in ("3", "7", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        got = merge_intervals(spark.createDataFrame(rows, COLUMNS), ["who"], "s", "e").collect()
+        assert len(got) == 200 and {tuple(x) for x in got} == brute(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_intervals_of_an_empty_table(spark):
     assert merge_intervals(spark.createDataFrame([], COLUMNS), ["who"], "s", "e").collect() == []
 
