@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from lodeshift.llm.pii import LINES, _Table, find_items, find_pii, redact_pii, trained
-from lodeshift.llm.scans import Trie, explain, find_noise, reflow, wrong_glyphs
+from lodeshift.llm.scans import MOST_EDITS, Trie, explain, find_noise, reflow, wrong_glyphs
 
 
 def test_held_out_lines():
@@ -23,20 +25,14 @@ def test_pii_tables(spark):
     assert find_pii(df.limit(0), "block_id", "text").count() == 0
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
-
-
-def test_trie_gives_all_near_words():
-    words = ["abcd", "abce", "abd", "xabcd", "bacd", "zzzz", "ab", "abcdef"]
-    for asked in ("abcd", "abxd", "zzz", ""):
-        for most in (1, 2):
-            assert sorted(Trie(words).near(asked, most)) == sorted(w for w in words if edits(asked, w) <= most)
+def test_trie_gives_every_word_that_lookalikes_explain():
+    r = random.Random(2)
+    words = {"".join(r.choice("dclrnmiou") for _ in range(r.randrange(1, 7))) for _ in range(700)}
+    trie = Trie(words)
+    for _ in range(300):
+        asked = "".join(r.choice("dclrnmiou10!") for _ in range(r.randrange(1, 8)))
+        near = trie.near(asked, MOST_EDITS)
+        assert {w: n for w, n in near.items() if n} == {w: len(s) for w in words if (s := explain(asked, w))}
 
 
 @pytest.mark.parametrize(("read", "printed", "spans"), [("c1ear", "clear", [(1, 2)]), ("programrnes", "programmes", [(7, 9)]), ("clear", "clear", None), ("cxear", "clear", None), ("tr@ined", "trained", [(2, 3)]), ("bclow", "below", [(1, 2)])])
