@@ -100,7 +100,8 @@ def document_id(sha256: Column) -> Column:
 def manifest(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) under a folder: path, candidate_id, content_sha256, bytes, mtime, media_type; reason for rejects.
 
-    Files stream through as rows of one scan; nothing is listed or opened on the driver.
+    Files stream through as rows of one scan, none is opened on the driver. Spark's file scan itself leaves out files of
+    no length; rows of no length that come from elsewhere are rejected as EMPTY.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
