@@ -174,7 +174,7 @@ def docx_to_text(content: pd.Series) -> pd.Series:
 
 def decode_text(content: Column) -> Column:
     """UTF-8 where valid, else Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, F.lit("UTF-8"))).otherwise(F.decode(content, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def extract(documents: DataFrame) -> DataFrame:
