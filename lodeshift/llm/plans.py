@@ -52,11 +52,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan_noise(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    experience = table(spark, sf_dir, "experience").select("employer", "title", "location", F.concat_ws(" ", "bullets").alias("bullets"), "start_date", "end_date")
+    experience = table(spark, sf_dir, "experience").select("employer", "title", "location", "start_date", "end_date")
+    bullets = table(spark, sf_dir, "experience").select(F.explode("bullets").alias("bullet"))
     resumes = table(spark, sf_dir, "resumes").select("full_name", "summary", "skills", F.regexp_replace("email", r"[@._+0-9-]+", " ").alias("mail"))
     education = table(spark, sf_dir, "education").select("institution", "field")
-    texts = [df.select(F.explode(F.array(*df.columns)).alias("text")) for df in (experience, resumes, education)]
-    clean = texts[0].unionByName(texts[1]).unionByName(texts[2]).where("text is not null")
+    texts = [df.select(F.explode(F.array(*df.columns)).alias("text")) for df in (experience, bullets, resumes, education)]
+    clean = texts[0].unionByName(texts[1]).unionByName(texts[2]).unionByName(texts[3]).where("text is not null")
     return find_noise(table(spark, sf_dir, "line_blocks"), clean)
 
 
