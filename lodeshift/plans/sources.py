@@ -108,3 +108,22 @@ def dup_contact_identity(spark: SparkSession, d: str) -> DataFrame:
 def ext_html_text(spark: SparkSession, d: str) -> DataFrame:
     page = F.concat(F.lit("<html><head><title>"), F.coalesce("doc_kind", F.lit("")), F.lit("</title><style>p {x:y}</style></head><body><p>"), F.regexp_replace("text", "<", "&lt;"), F.lit("</p><script>var a;</script></body></html>"))
     return P.table(spark, d, "documents").where("text is not null").select("doc_id", html_to_text(page).alias("text"))
+
+
+@query("""select time_bucket(interval '5 minutes', ts) as start, time_bucket(interval '5 minutes', ts)+interval '5 minutes' as "end", event_type, count(*) n, round(sum(value),6) total from events group by 1,2,3""")
+def evt_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of the streaming operator over the events as a batch."""
+    from lodeshift.streaming.scoring import event_windows
+
+    w = event_windows(P.table(spark, d, "events"))
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", "total")
+
+
+@query()
+def run_shortlist(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline: all résumés among the documents against the stated jobs, those whose id is divisible by 100."""
+    from lodeshift.plans.pipeline import shortlist
+
+    docs = P.table(spark, d, "documents").where("doc_kind = 'resume'").select(F.col("doc_id").cast("string").alias("candidate_id"), "text")
+    jobs = P.table(spark, d, "documents").where("doc_kind = 'job_description' and doc_id % 100 = 0 and text is not null").select(F.col("doc_id").cast("string").alias("job_id"), "text")
+    return shortlist(docs, jobs, 40.0)
