@@ -243,6 +243,12 @@ def _slot(feature: str, place: int) -> int:
     return crc32(f"{place}{feature}".encode()) % WIDTH
 
 
+@lru_cache(maxsize=200_000)
+def _word_slots(word: str, place: int) -> list[int]:
+    """The slots of a word's features at a place relative to the token that sees it; the empty word is the edge."""
+    return [_slot(f, place) for f in (_features(word) if word else ["edge"])]
+
+
 _BARS = ("|", "·", ";", "•", "  ")
 
 
@@ -262,12 +268,11 @@ class Crf:
 
     def ids(self, words: list[str], font: float) -> list[list[int]]:
         line = [_slot(f, 99) for f in _line_features(words, font)]
-        each = [_features(w) for w in words]
         out = []
         for i in range(len(words)):
             here = list(line)
             for k in range(-REACH, REACH + 1):
-                here += [_slot(f, k) for f in (each[i + k] if 0 <= i + k < len(words) else ["edge"])]
+                here += _word_slots(words[i + k] if 0 <= i + k < len(words) else "", k)
             out.append(here)
         return out
 
@@ -289,25 +294,17 @@ class Crf:
         by_size: dict[int, list[int]] = {}
         for i, (x, _) in enumerate(data):
             by_size.setdefault(len(x), []).append(i)
+        batches = []
+        for group in by_size.values():
+            group = r.permutation(group)
+            batches += [self._prepared([data[i] for i in group[k : k + 16]]) for k in range(0, len(group), 16)]
         for _ in range(rounds):
-            batches = []
-            for group in by_size.values():
-                group = r.permutation(group)
-                batches += [group[k : k + 16] for k in range(0, len(group), 16)]
             for k in r.permutation(len(batches)):
-                rows_ = [data[i] for i in batches[k]]
-                n, size = len(rows_), len(rows_[0][0])
-                flat = np.array([f for x, _ in rows_ for t in x for f in t])
-                owner = np.array([i for i, t in enumerate(t for x, _ in rows_ for t in x) for _ in t])
-                emit = np.zeros((n * size, len(TAGS)))
-                np.add.at(emit, owner, self.weights[flat])
-                emit = emit.reshape(n, size, -1)
-                gold = np.array([y for _, y in rows_])
+                flat, counts, touched, order, starts, owner, gold = batches[k]
+                n, size = gold.shape
+                emit = np.add.reduceat(self.weights[flat], counts).reshape(n, size, -1)
                 grad_e, grad_t = self._gradient(emit, gold)
-                touched, where = np.unique(flat, return_inverse=True)
-                g = np.zeros((len(touched), len(TAGS)))
-                np.add.at(g, where, grad_e.reshape(n * size, -1)[owner])
-                g = g / n - keep * len(data) * self.weights[touched]
+                g = np.add.reduceat(grad_e.reshape(n * size, -1)[owner[order]], starts) / n - keep * len(data) * self.weights[touched]
                 seen_w[touched] += g * g
                 self.weights[touched] += rate * g / np.sqrt(seen_w[touched])
                 grad_t /= n
@@ -319,6 +316,17 @@ class Crf:
         self.weights = self.weights.astype("float32")
         return self
 
+    @staticmethod
+    def _prepared(rows: list) -> tuple:
+        """A batch of lines of one length as arrays: features by token, and the same ordered by feature."""
+        each = [t for x, _ in rows for t in x]
+        flat = np.concatenate([np.array(t) for t in each])
+        sizes = np.array([len(t) for t in each])
+        owner = np.repeat(np.arange(len(each)), sizes)
+        order = np.argsort(flat, kind="stable")
+        touched, starts = np.unique(flat[order], return_index=True)
+        return flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), touched, order, starts, owner, np.array([y for _, y in rows])
+
     def _gradient(self, emit: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Observed less expected counts: of tags by place, and of tag pairs."""
         n, size, tags = emit.shape
@@ -342,8 +350,7 @@ class Crf:
         """The summed weights of a word's features at each place relative to the token that sees it."""
         known = self.memory.get(word)
         if known is None:
-            feats = _features(word) if word else ["edge"]
-            known = np.stack([self.weights[[_slot(f, k) for f in feats]].sum(0) for k in range(-REACH, REACH + 1)]).astype("float32")
+            known = np.stack([self.weights[_word_slots(word, k)].sum(0) for k in range(-REACH, REACH + 1)]).astype("float32")
             if len(self.memory) > 60_000:
                 self.memory.clear()
             self.memory[word] = known
