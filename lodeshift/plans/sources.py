@@ -127,3 +127,15 @@ def run_shortlist(spark: SparkSession, d: str) -> DataFrame:
     docs = P.table(spark, d, "documents").where("doc_kind = 'resume'").select(F.col("doc_id").cast("string").alias("candidate_id"), "text")
     jobs = P.table(spark, d, "documents").where("doc_kind = 'job_description' and doc_id % 100 = 0 and text is not null").select(F.col("doc_id").cast("string").alias("job_id"), "text")
     return shortlist(docs, jobs, 40.0)
+
+
+@query("""with r as (select case when coalesce(text,'')='' then 'EMPTY' when strlen(text)>10000 then 'TOO_LARGE' when doc_kind='interview_note' then 'UNSUPPORTED' end code from documents) select 'ingest' stage, code, count(*) n from r where code is not null group by 1,2""")
+def snk_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Rejects by stage and code, as the error file lists them."""
+    return src_manifest_ids(spark, d).where("reason is not null").groupBy(F.lit("ingest").alias("stage"), F.col("reason").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(r"""with r as (select distinct candidate_id, full_name from resumes where full_name is not null) select candidate_id, full_name, candidate_id||'_'||regexp_replace(regexp_replace(full_name,'[^\p{L}\p{N}_.-]+','_','g'),'^[._]+|[._]+$','','g') as file from r""")
+def snk_copy_names(spark: SparkSession, d: str) -> DataFrame:
+    r = P.table(spark, d, "resumes").where("full_name is not null").select("candidate_id", "full_name").distinct()
+    return r.select("candidate_id", "full_name", F.concat("candidate_id", F.lit("_"), files.safe_name(F.col("full_name"))).alias("file"))

@@ -362,3 +362,47 @@ def int_skill_share(spark: SparkSession, d: str) -> DataFrame:
     c = _claims(spark, d).select("candidate_id", words.alias("w"), k.alias("k"))
     c = c.select("candidate_id", F.size("k").alias("tokens"), F.size(F.filter("k", lambda x: F.array_contains("w", x))).alias("matched"))
     return c.withColumn("flagged", (F.col("tokens") > 0) & (F.col("matched") > 0.55 * F.col("tokens")))
+
+
+@query(r"""with l as (select distinct block_id, text from line_blocks where regexp_matches(text,'^[ \t]*[-•*]')) select block_id, trim(substr(ltrim(text, ' '||chr(9)),2), ' '||chr(9)) content, strpos(text, trim(substr(ltrim(text, ' '||chr(9)),2), ' '||chr(9)))-1 as start from l""")
+def str_bullets(spark: SparkSession, d: str) -> DataFrame:
+    """Bullet lines without their mark, and where the content begins."""
+    l = P.table(spark, d, "line_blocks").where(F.col("text").rlike(r"^[ \t]*[-•*]")).select("block_id", "text").distinct()
+    content = F.regexp_replace("text", r"^[ \t]*[-•*][ \t]*|[ \t]+$", "")
+    return l.select("block_id", content.alias("content"), (F.instr("text", content) - 1).alias("start"))
+
+
+@query(r"""with s as (select doc_id, list_filter(list_transform(regexp_extract_all(text,'[^.!?\n]+[.!?]?'), lambda x: trim(x, ' '||chr(9)||chr(13))), lambda x: x<>'') a from documents where text is not null) select doc_id, len(a) sentences, a[1] first_sentence, a[len(a)] last_sentence, coalesce(list_max(list_transform(a, lambda x: length(x))),0) longest from s""")
+def str_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Rough sentences as the structuring step takes them: up to a mark or the end of the line."""
+    a = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"([^.!?\n]+[.!?]?)"), 1), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
+    s = P.table(spark, d, "documents").where("text is not null").select("doc_id", a.alias("a"))
+    last = F.try_element_at("a", F.greatest(F.size("a"), F.lit(1)))
+    return s.select("doc_id", F.size("a").alias("sentences"), F.get("a", F.lit(0)).alias("first_sentence"), last.alias("last_sentence"), F.coalesce(F.array_max(F.transform("a", lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+@query("select doc_id, length(text)>=20 and substr(text,6,10)=regexp_extract(text,'^(?s:.{5})(?s:(.{10}))',1) verified from documents where text is not null")
+def str_span_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a quote stands where its span says, in code points."""
+    quote = F.regexp_extract("text", r"^(?s:.{5})(?s:(.{10}))", 1)
+    return P.table(spark, d, "documents").where("text is not null").select("doc_id", span_holds(F.col("text"), F.lit(5), F.lit(15), quote, 20).alias("verified"))
+
+
+def span_holds(text, start, end, quote, least: int = 0):
+    """text[start:end] == quote, within bounds."""
+    return (F.length(text) >= F.greatest(end, F.lit(least))) & (F.substring(text, start + 1, end - start) == quote)
+
+
+@query(f"with {_LINES}, h as (select doc_id, case {_KIND} else 'other' end kind from t where t<>'' and ({_HEAD})) select doc_id, count(*) headings, sum((kind='contact')::int) contacts, sum((kind='contact')::int)>1 several from h group by 1")
+def sec_multi_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold several people's papers: more than one contact section."""
+    h = document_lines(spark, d).where(is_heading(F.col("t"))).select("doc_id", section_kind(F.col("t")).alias("kind"))
+    by = h.groupBy("doc_id").agg(F.count("*").alias("headings"), F.sum((F.col("kind") == "contact").cast("int")).alias("contacts"))
+    return by.withColumn("several", F.col("contacts") > 1)
+
+
+@query("select doc_id, sha256('m1'||chr(31)||coalesce(doc_kind,'')||chr(31)||coalesce(text,'')) as key from documents")
+def txt_cache_key(spark: SparkSession, d: str) -> DataFrame:
+    """Content-addressed key over model, template and input."""
+    key = F.sha2(F.concat(F.lit("m1\u001f"), F.coalesce("doc_kind", F.lit("")), F.lit("\u001f"), F.coalesce("text", F.lit(""))), 256)
+    return P.table(spark, d, "documents").select("doc_id", key.alias("key"))
