@@ -8,8 +8,6 @@ remain open in each block meet in a next, smaller round, until one block is left
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
