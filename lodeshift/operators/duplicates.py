@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from lodeshift.operators.graph import connected_components
 from lodeshift.session import cut
 
-RADIUS = 3  # bits; four bands of 16 bits find every pair at this distance or nearer
-MEDIAN_CAP = 131072  # bytes of a content that its fingerprint covers (fixed value)
+RADIUS = 3  # bits
+_EDGES = (0, 13, 26, 39, 52, 64)  # five blocks of bits: fingerprints at most three bits apart are equal in two of them
+COVERED_BYTES = 131072  # bytes of a content that its fingerprint covers (fixed value)
 
 
 def exact_classes(df: DataFrame, key: str, hash_of: str) -> DataFrame:
@@ -25,7 +27,7 @@ def exact_classes(df: DataFrame, key: str, hash_of: str) -> DataFrame:
 def simhash(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, fingerprint): 64-bit SimHash over 4-byte chunks; a bit is set where more chunks have it than not.
 
-    NULL or shorter contents have the fingerprint 0. Only the first ``MEDIAN_CAP`` bytes count, as the definition says.
+    NULL or shorter contents have the fingerprint 0. Only the first ``COVERED_BYTES`` bytes count, as the definition says.
     """
     kind = dict(df.dtypes)[key]
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -34,7 +36,7 @@ def simhash(df: DataFrame, key: str, content: str) -> DataFrame:
         for pdf in batches:
             out = []
             for raw in pdf["content"]:
-                data = bytes(raw or b"")[:MEDIAN_CAP]
+                data = bytes(raw or b"")[:COVERED_BYTES]
                 chunks = [data[i : i + 4] for i in range(0, len(data) - 3, 4)]
                 if not chunks:
                     out.append(0)
@@ -52,15 +54,16 @@ def simhash(df: DataFrame, key: str, content: str) -> DataFrame:
 def near_pairs(prints: DataFrame, key: str, fingerprint: str, radius: int = RADIUS) -> DataFrame:
     """(a, b, distance) of classes of equal fingerprints whose distance is 1 to ``radius``; a and b are fingerprints.
 
-    Copies are one class and are not expanded; two classes at the distance share at least one of the four bands, so the
-    equal join on bands loses no pair. A band that very many classes share is split on a second band: pairs in it differ
-    in at most ``radius`` of the other three bands, and so share one of them too, or differ in each by one bit.
+    Copies are one class and are not expanded. Two classes at the distance agree in at least two of five blocks of bits,
+    so the equal join on the ten pairs of blocks, keys of about 25 bits, loses no pair and meets few strangers.
     """
-    assert 0 < radius <= 3
+    assert 0 < radius <= RADIUS
     classes = prints.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias("f")).distinct()
-    band = lambda i: F.shiftrightunsigned("f", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    bands = cut(classes.select("f", F.posexplode(F.array(*[band(i) for i in range(4)])).alias("i", "v")))
-    left, right = bands.select(F.col("f").alias("a"), "i", "v"), bands.select(F.col("f").alias("b"), "i", "v")
+    blocks = [(1 << high) - (1 << low) for low, high in zip(_EDGES, _EDGES[1:])]
+    masks = [x | y for x, y in combinations(blocks, 2)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = cut(classes.select("f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("i", "v")))
+    left, right = keys.select(F.col("f").alias("a"), "i", "v"), keys.select(F.col("f").alias("b"), "i", "v")
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     return left.join(right, ["i", "v"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 

@@ -73,7 +73,6 @@ def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, to
     repeated ids count once, by their longest text. Dimensions that the texts can't show are left out and their weight
     goes to the others.
     """
-    spark = documents.sparkSession
     docs = documents.where("candidate_id is not null").groupBy("candidate_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     skills, needs = compile_jobs(jobs)
     profiles, roles = structure(docs.where(r"text rlike '\\S'"))
@@ -104,7 +103,6 @@ def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, to
     cards = wide.withColumn("active", active).withColumn("composite", X.clip(F.round(score - penalty, 2), 0.0, 100.0)).withColumn("confidence", F.lit(1.0)).withColumn("eligible", F.lit(True))
     ranked = S.rank(cards, threshold, top)
     flags = F.when(F.col("injected") > 0, F.array(F.lit("PROMPT_INJECTION"))).otherwise(none)
-    assert spark is not None
     return ranked.select("job_id", "rank", "candidate_id", "composite", X.band(F.col("composite")).alias("band"), "selected", "missing", flags.alias("flags"))
 
 

@@ -174,7 +174,6 @@ b as (select block_id, list_filter(list_transform(string_split_regex(t,'[,;·•
 s as (select block_id, len(c) n, len(list_filter(c, lambda x: len(string_split_regex(x,'\s+'))<=3 and regexp_matches(x,'[A-Za-z0-9]'))) k, len(e) n2, len(list_filter(e, lambda x: len(string_split_regex(x,'\s+'))<=3 and regexp_matches(x,'[A-Za-z0-9]'))) k2 from b)
 select block_id, (n>=2 and k*2>=n) or (n2>=3 and k2*2>=n2) listed from s""")
 def sec_skills_list_lines(spark: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.contains("text", F.lit(":")), F.substring_index("text", ":", -1)).otherwise(F.col("text"))
     t = F.when(F.contains("text", F.lit(":")), F.expr("substring(text, instr(text, ':') + 1)")).otherwise(F.col("text"))
     (c, k), (e, k2) = _few(F.split(t, "[,;·•]")), _few(F.split(t, "[,;·•&/]"))
     listed = ((F.size(c) >= 2) & (F.size(k) * 2 >= F.size(c))) | ((F.size(e) >= 3) & (F.size(k2) * 2 >= F.size(e)))
