@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeshift.operators.graph import connected_components
 from lodeshift.session import cut, is_bounded, shuffle_width, stored
 
 # What scanning makes of characters: (printed, read).
@@ -374,9 +375,21 @@ def wrong_glyphs(glyphs: DataFrame, blocks: DataFrame, wrong: DataFrame) -> Data
     return drawn.join(spotted, ["candidate_id", "page", "line", "place"]).select("glyph_id").distinct()
 
 
+# Words that no sentence ends with; what follows them over a page border goes on even in capitals.
+_OPEN = regex.compile(
+    r"(?i)\b(?:a|an|and|at|by|for|from|in|into|of|on|or|over|the|their|to|under|using|which|while|with|without|als|am|an|auf|bei|das|dem|den|der|des|die|durch|ein|eine|einem|einen|einer|für|im|mit|oder|ohne|und|unter|von|vom|zu|zum|zur|al|con|de|del|el|en|la|las|los|para|por|sin|una|y|au|aux|avec|dans|du|et|le|les|ou|par|pour|sans|sur|une)$"
+)
+_RESUMED = regex.compile(r"[\p{Ll},;)]")
+
+
 def reflow(noise: dict[str, DataFrame]) -> DataFrame:
-    """(candidate_id, page, paragraph, text): the body of each page as continuous paragraphs, words corrected and joined,
-    furniture gone. A paragraph ends where a line ends a sentence and the next begins a new one, or at a list mark or heading."""
+    """(candidate_id, page, paragraph, text): the body as continuous paragraphs, words corrected and joined, furniture gone.
+
+    A paragraph ends where a line ends a sentence and the next begins a new one, or at a list mark or heading. It goes on
+    over a page border where a word is broken there, or the next page resumes in small letters within a sentence or after a word
+    that ends none; it is then given once, with the page on which it begins. ``paragraph`` counts the pieces of a page, so a
+    page that begins within a paragraph has no number 1.
+    """
     repairs = noise["repairs"].where("offset = 0").groupBy("block_id").agg(F.collect_list(F.struct("begin", "size", "word", "known")).alias("fixes"))
     broken = noise["breaks"].select("block_id", F.col("kind").alias("broken"))
     lines = noise["lines"].join(repairs, "block_id", "left").join(broken, "block_id", "left")
@@ -404,8 +417,25 @@ def reflow(noise: dict[str, DataFrame]) -> DataFrame:
                 glue = ""
         if current:
             out.append(current)
-        head = pdf.iloc[0]
-        return pd.DataFrame({"candidate_id": head["candidate_id"], "page": head["page"], "paragraph": range(1, len(out) + 1), "text": out})
+        head, n = pdf.iloc[0], len(out)
+        frame = pd.DataFrame({"candidate_id": head["candidate_id"], "page": head["page"], "paragraph": range(1, n + 1), "text": out})
+        frame["glue"] = [" "] * (n - 1) + [glue] if n else []
+        frame["last"] = [k == n - 1 for k in range(n)]
+        frame["ended"] = [k == n - 1 and regex.search(r"[.!?:]$", t) is not None for k, t in enumerate(out)]
+        frame["open"] = [k == n - 1 and _OPEN.search(t) is not None for k, t in enumerate(out)]
+        frame["resumed"] = [k == 0 and _RESUMED.match(t) is not None for k, t in enumerate(out)]
+        frame["listed"] = [k == 0 and regex.match(r"[•▪*–-]\s", t) is not None for k, t in enumerate(out)]
+        return frame
 
     kind = dict(lines.dtypes)["page"]
-    return lines.groupBy("candidate_id", "page").applyInPandas(join_lines, f"candidate_id string, page {kind}, paragraph int, text string")
+    pieces = stored(lines.groupBy("candidate_id", "page").applyInPandas(join_lines, f"candidate_id string, page {kind}, paragraph int, text string, glue string, last boolean, ended boolean, open boolean, resumed boolean, listed boolean"))
+    # The last piece of a page meets the first of the next by an equal join of pages; chains of pieces become one paragraph.
+    place = F.struct("candidate_id", "page", "paragraph")
+    tails = pieces.where("last").select("candidate_id", (F.col("page") + 1).alias("page"), place.alias("a"), "glue", "ended", "open")
+    heads = pieces.where("paragraph = 1").select("candidate_id", "page", place.alias("b"), "resumed", "listed")
+    chains = connected_components(tails.join(heads, ["candidate_id", "page"]).where("glue = '' or (resumed and not ended) or (open and not listed)").select("a", "b"))
+    chains = chains.select("node.*", F.col("component").alias("root"))
+    keys = ["candidate_id", "page", "paragraph"]
+    run = F.array_sort(F.collect_list(F.struct("page", "paragraph", F.concat("text", "glue").alias("text"))))
+    joined = pieces.join(chains, keys).groupBy("root").agg(F.rtrim(F.array_join(F.transform(run, lambda r: r["text"]), "")).alias("text")).select("root.*", "text")
+    return pieces.join(chains, keys, "left_anti").select(*keys, "text").unionByName(joined.select(*keys, "text"))

@@ -66,6 +66,24 @@ def test_noise_of_pages(spark):
     assert {r.glyph_id for r in wrong_glyphs(glyphs, spark.createDataFrame(rows, SCHEMA), noise["wrong"]).collect()} == {6, 99}
 
 
+def test_paragraphs_over_page_borders(spark):
+    pages = [
+        ["Earlier work.", "We planned the delivery of refrigerated goods with a group of partici-"],
+        ["pating towns and cared for"],
+        ["Jolvex users in the region.", "• First aid courses for all members of the night shift and their"],
+        ["• Second list entry stands for itself here", "It went on well and so did all the other work of the year"],
+        ["Ines Varnmere", "All of it is done here, with printed checklists."],
+        ["jolvex systems works"],
+    ]
+    rows = [(10 * p + k, "c", p, k, text, 50.0, 10.0 * k, 10.0, "text", None) for p, lines in enumerate(pages, 1) for k, text in enumerate(lines, 1)]
+    rows += [(90, "d", 2, 1, "small letters of another owner", 50.0, 10.0, 10.0, "text", None)]
+    got = {(r.candidate_id, r.page, r.paragraph): r.text for r in reflow(find_noise(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("participating",)], "text string"))).collect()}
+    assert got == {
+        ("c", 1, 1): "Earlier work.", ("c", 1, 2): "We planned the delivery of refrigerated goods with a group of participating towns and cared for Jolvex users in the region.",
+        ("c", 3, 2): pages[2][1], ("c", 4, 1): " ".join(pages[3]), ("c", 5, 1): "Ines Varnmere", ("c", 5, 2): pages[4][1], ("c", 6, 1): "jolvex systems works", ("d", 2, 1): "small letters of another owner",
+    }
+
+
 def test_no_lines(spark):
     noise = find_noise(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "text string"))
     assert noise["kinds"].count() == 0 and reflow(noise).count() == 0
