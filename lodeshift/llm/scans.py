@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -32,6 +33,7 @@ _WORD = re.compile(r"[^\W_†@!$'’]*[\w†@!$][\w†@!$'’]*")
 _BROKEN = regex.compile(rf"([\p{{L}}\p{{M}}†@!$0-9'’]+(?:[-][\p{{L}}\p{{M}}†@!$0-9'’]+)*)[{MARKS}]\s*$")
 _HEAD = regex.compile(r"\s*((?![A-Z])[\p{L}\p{M}†@!$0-9'’]+(?:-[\p{L}\p{M}†@!$0-9'’]+)*)")
 _NUMBER = r"(?i)^[\W_]*(page|seite|página|pagina|pág\.?|p\.|s\.|blatt)?[\W_]*[0-9lO]+[\W_]*((of|von|de|sur|/)[\W_]*[0-9lO]+)?[\W_]*$"
+_TAIL = regex.compile(r"@[^@.]*\W*")
 _SKIP = regex.compile(r"\S*(?:@[\p{L}\p{N}-]+\.|\bwww\.|@\d|\(at\)|\[at\])\S*|(?<!\S)@\S+")
 
 
@@ -88,6 +90,12 @@ class Trie:
 
 def explain(read: str, printed: str) -> list[tuple[int, int]] | None:
     """The stretches (begin, end) of ``read`` that look-alikes turned wrong, fewest first; None if anything else differs."""
+    found = aligned(read, printed)
+    return None if found is None else [(a, b) for a, b, _ in found]
+
+
+def aligned(read: str, printed: str) -> list[tuple[int, int, str]] | None:
+    """As ``explain``, each stretch with what was printed there."""
     n, m = len(read), len(printed)
     best: dict[tuple[int, int], tuple[int, tuple]] = {(0, 0): (0, ())}
     for i in range(n + 1):
@@ -102,7 +110,7 @@ def explain(read: str, printed: str) -> list[tuple[int, int]] | None:
             for size in (1, 2):
                 for p in _READ.get(read[i : i + size], ()) if i + size <= n else ():
                     if printed.startswith(p, j):
-                        steps.append((i + size, j + len(p), cost + 1, (*spans, (i, i + size))))
+                        steps.append((i + size, j + len(p), cost + 1, (*spans, (i, i + size, p))))
             for a, b, c, s in steps:
                 if (a, b) not in best or c < best[a, b][0]:
                     best[a, b] = (c, s)
@@ -110,9 +118,44 @@ def explain(read: str, printed: str) -> list[tuple[int, int]] | None:
     return list(end[1]) if end and 0 < end[0] <= MOST_EDITS else None
 
 
-def words_of(text: str) -> list[tuple[str, int]]:
-    """Lower-case words with their places; addresses on the net are left out."""
-    hidden = _SKIP.sub(lambda m: " " * len(m[0]), text) if "@" in text or "www" in text or "at" in text and _NET.search(text) else text
+@lru_cache(maxsize=100_000)
+def _changes(word: str, known: str | None) -> tuple[tuple[int, int, str], ...]:
+    """The wrong stretches of a word with what was printed there; ``known`` is None for numbers."""
+    if known is None:
+        return tuple((a, b, "1" if word[a] == "l" else "0") for a, b in as_number(word) or ())
+    return tuple(aligned(word, known) or ())
+
+
+def repaired(text: str, fixes) -> str:
+    """The line with the printed characters in place of the misread ones. Of a word that is broken over lines its part
+    here is mended; a stretch over the break goes to the head. Capitals stay."""
+    edits = []
+    for f in fixes:
+        low, high = f["offset"], f["offset"] + f["size"]
+        here = text[f["begin"] : f["begin"] + f["size"]]
+        for a, b, printed in _changes(f["word"], f["known"]):
+            x, y = max(a, low), min(b, high)
+            if x >= y:
+                continue
+            old = here[x - low : y - low]
+            rest = [c for c in here[: x - low] + here[y - low :] if c.isalpha()]
+            new = "" if a < low else printed
+            if old[:1].isupper() and (x == 0 or not old[-1:].islower()) or not old[:1].islower() and len(rest) > 1 and all(c.isupper() for c in rest):
+                new = new.upper() if all(c.isupper() for c in rest) and (rest or len(old) > 1) else new[:1].upper() + new[1:]
+            edits.append((f["begin"] + x - low, f["begin"] + y - low, new))
+    for a, b, new in sorted(set(edits), reverse=True):
+        text = text[:a] + new + text[b:]
+    return text
+
+
+def words_of(text: str, tail: bool = False) -> list[tuple[str, int]]:
+    """Lower-case words with their places; addresses on the net are left out, but not the ``tail`` of a broken word at the
+    line's begin whose first letter was read as @."""
+
+    def hide(m) -> str:
+        return m[0] if tail and not text[: m.start()].strip() and _TAIL.fullmatch(m[0]) else " " * len(m[0])
+
+    hidden = _SKIP.sub(hide, text) if "@" in text or "www" in text or "at" in text and _NET.search(text) else text
     out = []
     for m in _WORD.finditer(hidden):
         w, a = m[0], m.start()
@@ -210,7 +253,7 @@ def _pieces(lines: DataFrame) -> DataFrame:
                     continue
                 ends, starts = break_of(text, after), break_of(before, text) if before else None
                 left = ""
-                found = words_of(text)
+                found = words_of(text, starts is not None)
                 for k, (w, a) in enumerate(found):
                     whole, offset = w, 0
                     if starts and k == 0:
@@ -277,8 +320,8 @@ def find_noise(deliveries: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
 
     ``deliveries`` has block_id, candidate_id, page, line_no, text, x0, top, font_size, method, loaded_at, blocks perhaps
     delivered again; ``clean`` has texts without scan noise in the column ``text``. Gives ``kinds`` (block_id, kind),
-    ``wrong`` (block_id, begin, end: the wrong characters), ``repairs`` (block_id, begin, size, known: corrected words),
-    ``marked`` (every block once), ``lines`` (body lines in their chain) and ``breaks`` (block_id, head, tail, kind). NULL
+    ``wrong`` (block_id, begin, end: the wrong characters), ``repairs`` (block_id, begin, offset, size, word, known:
+    corrected words, whole where a line breaks them; known is NULL for numbers), ``marked`` (every block once), ``lines`` (body lines in their chain) and ``breaks`` (block_id, head, tail, kind). NULL
     and blank texts have no noise; lines without owner, page or number are not put in order; an empty table gives empty
     results.
     """
@@ -318,6 +361,9 @@ def find_noise(deliveries: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
     fixed = pieces.join(F.broadcast(ranked) if few else ranked, "word")
     kind = dict(pieces.dtypes)["block_id"]
     suspect = fixed.select("block_id", "word", "begin", "offset", "size", "known").unionByName(numbers.select("block_id", "word", "begin", "offset", "size", F.lit(None).cast("string").alias("known")))
+    # A number is repaired as one only where no word was found for it.
+    left = numbers.join(F.broadcast(ranked) if few else ranked, "word", "left_anti").select("block_id", "begin", "offset", "size", "word", F.lit(None).cast("string").alias("known"))
+    repairs = fixed.select("block_id", "begin", "offset", "size", "word", "known").unionByName(left)
     wrong = suspect.mapInPandas(places, f"block_id {kind}, begin int, end int")
 
     def breaks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,7 +397,7 @@ def find_noise(deliveries: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
     paged = marked.where("kind = 'page_number' and lower(method) = 'ocr' and text rlike '[lO]'").select("block_id", "text")
     wrong = cut(wrong.unionByName(paged.mapInPandas(page_places, f"block_id {kind}, begin int, end int")).distinct())
     kinds = marked.where("kind is not null").select("block_id", "kind").unionByName(breaks.select("block_id", "kind")).unionByName(wrong.select("block_id", F.lit("misread").alias("kind"))).distinct()
-    return {"kinds": kinds, "wrong": wrong, "repairs": fixed.select("block_id", "begin", "offset", "size", "word", "known"), "marked": marked, "lines": lines, "breaks": breaks}
+    return {"kinds": kinds, "wrong": wrong, "repairs": repairs, "marked": marked, "lines": lines, "breaks": breaks}
 
 
 def wrong_glyphs(glyphs: DataFrame, blocks: DataFrame, wrong: DataFrame) -> DataFrame:
@@ -376,10 +422,10 @@ def wrong_glyphs(glyphs: DataFrame, blocks: DataFrame, wrong: DataFrame) -> Data
 
 
 # Words that no sentence ends with; what follows them over a page border goes on even in capitals.
-_OPEN = regex.compile(
-    r"(?i)\b(?:a|an|and|at|by|for|from|in|into|of|on|or|over|the|their|to|under|using|which|while|with|without|als|am|an|auf|bei|das|dem|den|der|des|die|durch|ein|eine|einem|einen|einer|für|im|mit|oder|ohne|und|unter|von|vom|zu|zum|zur|al|con|de|del|el|en|la|las|los|para|por|sin|una|y|au|aux|avec|dans|du|et|le|les|ou|par|pour|sans|sur|une)$"
+_OPEN = (
+    r"(?iU)\b(?:a|an|and|at|by|for|from|in|into|of|on|or|over|the|their|to|under|using|which|while|with|without|als|am|an|auf|bei|das|dem|den|der|des|die|durch|ein|eine|einem|einen|einer|für|im|mit|oder|ohne|und|unter|von|vom|zu|zum|zur|al|con|de|del|el|en|la|las|los|para|por|sin|una|y|au|aux|avec|dans|du|et|le|les|ou|par|pour|sans|sur|une)$"
 )
-_RESUMED = regex.compile(r"[\p{Ll},;)]")
+_RESUMED = r"^[\p{Ll},;)]"
 
 
 def reflow(noise: dict[str, DataFrame]) -> DataFrame:
@@ -390,7 +436,7 @@ def reflow(noise: dict[str, DataFrame]) -> DataFrame:
     that ends none; it is then given once, with the page on which it begins. ``paragraph`` counts the pieces of a page, so a
     page that begins within a paragraph has no number 1.
     """
-    repairs = noise["repairs"].where("offset = 0").groupBy("block_id").agg(F.collect_list(F.struct("begin", "size", "word", "known")).alias("fixes"))
+    repairs = noise["repairs"].groupBy("block_id").agg(F.collect_list(F.struct("begin", "offset", "size", "word", "known")).alias("fixes"))
     broken = noise["breaks"].select("block_id", F.col("kind").alias("broken"))
     lines = noise["lines"].join(repairs, "block_id", "left").join(broken, "block_id", "left")
 
@@ -399,12 +445,7 @@ def reflow(noise: dict[str, DataFrame]) -> DataFrame:
         out, current, glue = [], "", " "
         for text, fixes, kind in zip(pdf["text"], pdf["fixes"], pdf["broken"]):
             fixes = [] if fixes is None or isinstance(fixes, float) else list(fixes)
-            for f in sorted(fixes, key=lambda f: -f["begin"]):
-                if len(f["word"]) == f["size"]:
-                    old = text[f["begin"] : f["begin"] + f["size"]]
-                    new = f["known"].title() if old[:1].isupper() else f["known"]
-                    text = text[: f["begin"]] + new + text[f["begin"] + f["size"] :]
-            text = " ".join(text.split())
+            text = " ".join(repaired(text, fixes).split())
             starts = regex.match(r"[•▪*–-]\s|[\p{Lu}\p{N}\"“(]", text) is not None
             if current and glue == " " and starts and regex.search(r"[.!?:]$|^.{0,40}$", current.rsplit("\n", 1)[-1]):
                 out.append(current)
@@ -419,23 +460,18 @@ def reflow(noise: dict[str, DataFrame]) -> DataFrame:
             out.append(current)
         head, n = pdf.iloc[0], len(out)
         frame = pd.DataFrame({"candidate_id": head["candidate_id"], "page": head["page"], "paragraph": range(1, n + 1), "text": out})
-        frame["glue"] = [" "] * (n - 1) + [glue] if n else []
-        frame["last"] = [k == n - 1 for k in range(n)]
-        frame["ended"] = [k == n - 1 and regex.search(r"[.!?:]$", t) is not None for k, t in enumerate(out)]
-        frame["open"] = [k == n - 1 and _OPEN.search(t) is not None for k, t in enumerate(out)]
-        frame["resumed"] = [k == 0 and _RESUMED.match(t) is not None for k, t in enumerate(out)]
-        frame["listed"] = [k == 0 and regex.match(r"[•▪*–-]\s", t) is not None for k, t in enumerate(out)]
+        frame["glue"] = [None] * (n - 1) + [glue] if n else []  # of the last piece alone
         return frame
 
     kind = dict(lines.dtypes)["page"]
-    pieces = stored(lines.groupBy("candidate_id", "page").applyInPandas(join_lines, f"candidate_id string, page {kind}, paragraph int, text string, glue string, last boolean, ended boolean, open boolean, resumed boolean, listed boolean"))
+    pieces = stored(lines.groupBy("candidate_id", "page").applyInPandas(join_lines, f"candidate_id string, page {kind}, paragraph int, text string, glue string"))
     # The last piece of a page meets the first of the next by an equal join of pages; chains of pieces become one paragraph.
     place = F.struct("candidate_id", "page", "paragraph")
-    tails = pieces.where("last").select("candidate_id", (F.col("page") + 1).alias("page"), place.alias("a"), "glue", "ended", "open")
-    heads = pieces.where("paragraph = 1").select("candidate_id", "page", place.alias("b"), "resumed", "listed")
+    tails = pieces.where("glue is not null").select("candidate_id", (F.col("page") + 1).alias("page"), place.alias("a"), "glue", F.col("text").rlike("[.!?:]$").alias("ended"), F.col("text").rlike(_OPEN).alias("open"))
+    heads = pieces.where("paragraph = 1").select("candidate_id", "page", place.alias("b"), F.col("text").rlike(_RESUMED).alias("resumed"), F.col("text").rlike(r"^[•▪*–-]\s").alias("listed"))
     chains = connected_components(tails.join(heads, ["candidate_id", "page"]).where("glue = '' or (resumed and not ended) or (open and not listed)").select("a", "b"))
     chains = chains.select("node.*", F.col("component").alias("root"))
     keys = ["candidate_id", "page", "paragraph"]
-    run = F.array_sort(F.collect_list(F.struct("page", "paragraph", F.concat("text", "glue").alias("text"))))
+    run = F.array_sort(F.collect_list(F.struct("page", "paragraph", F.concat("text", F.coalesce("glue", F.lit(""))).alias("text"))))
     joined = pieces.join(chains, keys).groupBy("root").agg(F.rtrim(F.array_join(F.transform(run, lambda r: r["text"]), "")).alias("text")).select("root.*", "text")
     return pieces.join(chains, keys, "left_anti").select(*keys, "text").unionByName(joined.select(*keys, "text"))

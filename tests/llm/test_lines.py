@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lodeshift.llm.pii import LINES, _Table, find_items, find_pii, redact_pii, trained
-from lodeshift.llm.scans import MOST_EDITS, Trie, explain, find_noise, reflow, wrong_glyphs
+from lodeshift.llm.scans import MOST_EDITS, Trie, explain, find_noise, reflow, repaired, wrong_glyphs
 
 
 def test_held_out_lines():
@@ -84,6 +84,23 @@ def test_paragraphs_over_page_borders(spark):
     }
 
 
+def test_broken_words_and_numbers_are_repaired(spark):
+    pages = [["Reviewed by l23 lab0ratory staff in 2l7 refri9er-", "@ted stores, LAB0RATORY and Lab0ratory of 4O4 partici-"], ["p@ting towns."]]
+    rows = [(10 * p + k, "c", p, k, text, 50.0, 10.0 * k, 10.0, "ocr", None) for p, lines in enumerate(pages, 1) for k, text in enumerate(lines, 1)]
+    clean = spark.createDataFrame([("reviewed by laboratory staff in refrigerated stores and of participating towns",)] * 20, "text string")
+    got = [r.text for r in reflow(find_noise(spark.createDataFrame(rows, SCHEMA), clean)).collect()]
+    assert got == ["Reviewed by 123 laboratory staff in 217 refrigerated stores, LABORATORY and Laboratory of 404 participating towns."]
+
+
+@pytest.mark.parametrize(("parts", "known", "mended"), [(("prograr", "nmes"), "programmes", ("program", "mes")), (("particip", "@ting"), "participating", ("particip", "ating")), (("PROGRARN", "MES"), "programmes", ("PROGRAM", "MES")), (("RN", "odern"), "modern", ("M", "odern"))])
+def test_parts_of_a_word(parts, known, mended):
+    word, offset, got = "".join(parts).lower(), 0, []
+    for part in parts:
+        got.append(repaired(part, [{"begin": 0, "offset": offset, "size": len(part), "word": word, "known": known}]))
+        offset += len(part)
+    assert tuple(got) == mended
+
+
 def test_no_lines(spark):
     noise = find_noise(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "text string"))
     assert noise["kinds"].count() == 0 and reflow(noise).count() == 0
