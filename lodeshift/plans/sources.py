@@ -9,6 +9,7 @@ from lodeshift.operators import duplicates as U
 from lodeshift.operators.graph import connected_components
 from lodeshift.plans import projections as P
 from lodeshift.plans.registry import query
+from lodeshift.session import cut
 from lodeshift.sources import files
 from lodeshift.sources.files import document_id, html_to_text
 
@@ -80,6 +81,14 @@ def dup_near_classes(spark: SparkSession, d: str) -> DataFrame:
     return U.near_classes(sign_prints(spark, d), "id", "f")
 
 
+@query()
+def dup_near_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(key, class_id, links) of every document by the SimHash of its text. As the definition says, texts that are NULL or
+    shorter than a chunk have the fingerprint 0 and are one class."""
+    prints = cut(U.simhash(P.table(spark, d, "documents"), "doc_id", "text"))  # read twice
+    return U.near_classes(prints, "key", "fingerprint")
+
+
 @query()
 def dup_simhash(spark: SparkSession, d: str) -> DataFrame:
     return U.simhash(P.table(spark, d, "documents"), "doc_id", "text")

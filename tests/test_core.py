@@ -14,6 +14,7 @@ from lodeshift.operators import layout as L
 from lodeshift.operators import scoring as S
 from lodeshift.operators import titles as T
 from lodeshift.operators import vectors as V
+from lodeshift.plans.catalogue import queries
 from lodeshift.plans.names import indel_ratio
 from lodeshift.plans.statistics import parse_date, split_range
 from lodeshift.sources import files
@@ -113,6 +114,29 @@ def test_near_pairs_match_brute_force(spark):
     assert len(classes) == len(prints) and sum(x.links > 0 for x in classes) > 0
 
 
+def test_near_documents_match_brute_force(spark, tmp_path):
+    r = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = "".join(r.choice("abcdefgh ") for _ in range(4000))
+        texts += [base, base, base[:200] + "zzzz" + base[204:], base[:2000] + "Q" + base[2001:], base + "tail"]
+    texts += [None, "", "abc", None] + [f"template {k % 3} " * 300 for k in range(9)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    f = {x.key: x.fingerprint for x in U.simhash(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()}
+    near = {a: {b for b in set(f.values()) if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3} for a in set(f.values())}
+    expected = {}
+    for key, a in f.items():
+        seen, stack = {a}, [a]
+        while stack:
+            fresh = near[stack.pop()] - seen
+            seen |= fresh
+            stack += fresh
+        expected[key] = (min(seen), len(near[a]))
+    assert any(n for _, n in expected.values())
+    rows = queries()["dup_near_documents"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and {x.key: (x.class_id, x.links) for x in rows} == expected
+
+
 def test_simhash(spark):
     df = spark.createDataFrame([(1, "abcdefgh" * 50), (2, "abcdefgh" * 50), (3, ""), (4, None), (5, "abc")], "id long, t string")
     got = {r.key: r.fingerprint for r in U.simhash(df, "id", "t").collect()}
