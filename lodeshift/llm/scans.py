@@ -1,9 +1,11 @@
 """Noise in text from scanned pages: page furniture, words broken over lines, misrecognised characters.
 
-Words that no clean text knows are looked up in a vocabulary: a Levenshtein automaton walks the trie of the vocabulary
-and gives every word within two edits; a candidate counts if look-alike characters explain all its edits, and
-neighbouring words decide between several. The vocabulary is split into parts of a fixed size, each with its own trie,
-and the unknown words are sent to the parts whose word lengths they can reach, so nothing has to fit one machine.
+Words that no clean text knows are looked up in a vocabulary: a Levenshtein automaton is intersected with the trie of the
+vocabulary and gives every word within a distance that grows with the word (``reach``), any edit allowed; a walk over
+look-alike edits gives besides every word up to ``MOST_EDITS`` look-alikes away, which may be twice as many plain edits.
+What is retrieved is only ranked after that: by look-alikes, other edits, context and frequency. The vocabulary is split
+into parts of a fixed size, each with its own trie, the unknown words into blocks, and each block meets the parts whose
+word lengths it can reach, so nothing has to fit one machine.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
@@ -22,14 +25,15 @@ from lodeshift.session import cut, is_bounded, shuffle_width, stored
 
 # What scanning makes of characters: (printed, read).
 LOOKALIKES = (
-    ("o", "0"), ("l", "1"), ("i", "1"), ("i", "!"), ("i", "í"), ("i", "l"), ("l", "i"), ("l", "!"), ("s", "5"), ("s", "$"), ("g", "9"), ("t", "†"), ("a", "@"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("b", "6"), ("z", "2"),
+    ("o", "0"), ("l", "1"), ("i", "1"), ("i", "!"), ("i", "í"), ("i", "l"), ("l", "i"), ("l", "!"), ("s", "5"), ("s", "$"), ("g", "9"), ("t", "†"), ("a", "@"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("b", "6"), ("b", "8"), ("i", "|"), ("l", "|"), ("z", "2"),
     ("n", "ri"), ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("u", "ii"), ("w", "vv"), ("ü", "ii"), ("é", "e"), ("ö", "o"), ("q", "9"), ("y", "v"), ("f", "t"), ("li", "h"), ("h", "li"),
 )
 MARKS = "-­¬‐‑"
 SHARD = 100_000  # words in one trie
-MOST_EDITS = 3
-LONGEST = 40  # letters; longer runs aren't words
-_WORD = re.compile(r"[^\W_†@!$'’]*[\w†@!$][\w†@!$'’]*")
+ASKED = 50_000  # unknown words that one task looks up in a trie
+MOST_EDITS = 3  # look-alikes in one word, and the largest distance of the automaton
+OTHER = 3  # what an edit that no look-alike explains weighs, in look-alikes
+_WORD = re.compile(r"(?:(?<!\S)\|(?=[^\W\d_]{2}))?[^\W_†@!$'’]*[\w†@!$][\w†@!$'’]*")  # a bar at the begin of a word is an I
 _BROKEN = regex.compile(rf"([\p{{L}}\p{{M}}†@!$0-9'’]+(?:[-][\p{{L}}\p{{M}}†@!$0-9'’]+)*)[{MARKS}]\s*$")
 _HEAD = regex.compile(r"\s*((?![A-Z])[\p{L}\p{M}†@!$0-9'’]+(?:-[\p{L}\p{M}†@!$0-9'’]+)*)")
 _NUMBER = r"(?i)^[\W_]*(page|seite|página|pagina|pág\.?|p\.|s\.|blatt)?[\W_]*[0-9lO]+[\W_]*((of|von|de|sur|/)[\W_]*[0-9lO]+)?[\W_]*$"
@@ -45,8 +49,110 @@ for _printed, _read in LOOKALIKES:
 _NET = re.compile(r"[(\[]at[)\]]")
 
 
+def reach(size: int) -> int:
+    """The distance within which a word of ``size`` letters is looked up, whatever the edits."""
+    return 1 if size < 5 else 2 if size < 12 else 3
+
+
+@lru_cache(maxsize=4)
+def levenshtein_states(most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(next, cells, start) of the universal Levenshtein automaton for up to ``most`` edits.
+
+    A state is the row of distances in the band around the diagonal, clipped at ``most`` + 1; it is the same for every
+    word, for it reads no letters but which of the 2 * most + 1 letters around the diagonal equal the one that is read:
+    ``next[state, bits]``. State 0 is dead. ``cells[state]`` are the distances.
+    """
+    width, over = 2 * most + 1, most + 1
+    equal = (np.arange(1 << width)[:, None] >> np.arange(width)) & 1
+    rows = [(over,) * width, (*(over,) * most, *range(most + 1))]
+    index = {r: i for i, r in enumerate(rows)}
+    steps: list[np.ndarray] = []
+    while len(steps) < len(rows):
+        old = np.array((*rows[len(steps)], over))
+        new = np.empty((1 << width, width), int)
+        for t in range(width):
+            best = np.minimum(old[t + 1] + 1, old[t] + 1 - equal[:, t])
+            new[:, t] = np.minimum(best if t == 0 else np.minimum(best, new[:, t - 1] + 1), over)
+        distinct, which = np.unique(new, axis=0, return_inverse=True)
+        for r in map(tuple, distinct.tolist()):
+            if r not in index:
+                index[r] = len(rows)
+                rows.append(r)
+        steps.append(np.array([index[tuple(r)] for r in distinct.tolist()], "int32")[which.ravel()])
+    return np.array(steps), np.array(rows), 1
+
+
+class LetterTrie:
+    """A vocabulary's trie as arrays, level by level, intersected with Levenshtein automata for many words at once."""
+
+    def __init__(self, words):
+        self.words = sorted(words)
+        self.letters: list[np.ndarray] = []  # by depth: the letter of each node, in order of its parent
+        self.children: list[np.ndarray] = []  # by depth: where each node's children begin in the next level
+        self.ends: list[np.ndarray] = []  # by depth: the word that ends in each node, or -1
+        runs = [(0, len(self.words))] if self.words else []  # the words below each node of the level
+        depth = 0
+        while runs:
+            letters, ends, below, first = [], [], [], []
+            for a, b in runs:
+                end = a if len(self.words[a]) == depth else -1
+                ends.append(end)
+                first.append(len(below))
+                k = a + (end >= 0)
+                while k < b:
+                    c, begin = self.words[k][depth], k
+                    while k < b and self.words[k][depth] == c:
+                        k += 1
+                    letters.append(ord(c))
+                    below.append((begin, k))
+            self.ends.append(np.array(ends))
+            self.children.append(np.array([*first, len(below)]))
+            self.letters.append(np.array(letters, "int32"))
+            runs, depth = below, depth + 1
+
+    def within(self, asked: list[str], most: int) -> Iterator[tuple[str, str, int]]:
+        """(word, known, distance) of every vocabulary word at most ``most`` edits from an asked word, any edits."""
+        if not self.words or not asked:
+            return
+        steps, cells, start = levenshtein_states(most)
+        bits = 1 << np.arange(2 * most + 1)
+        for low in range(0, len(asked), 256):
+            block = asked[low : low + 256]
+            sizes = np.array([len(w) for w in block])
+            # All words one behind the other; what stands between them equals no letter.
+            flat = np.full(int(sizes.sum()) + len(block) * (3 * most + 2), -1, "int32")
+            offset = np.concatenate([[0], np.cumsum(sizes + 3 * most + 2)[:-1]]) + most
+            for o, w in zip(offset, block):
+                flat[o : o + len(w)] = [ord(c) for c in w]
+            who, node, state = np.arange(len(block)), np.zeros(len(block), int), np.full(len(block), start)
+            for depth in range(len(self.letters)):
+                end = self.ends[depth][node]
+                place = sizes[who] - depth + most
+                hit = (end >= 0) & (place >= 0) & (place <= 2 * most)
+                if hit.any():
+                    distance = cells[state[hit], place[hit]]
+                    for w, e, d in zip(who[hit], end[hit], distance):
+                        if d <= most:
+                            yield block[w], self.words[e], int(d)
+                begin, count = self.children[depth][node], self.children[depth][node + 1] - self.children[depth][node]
+                total = int(count.sum())
+                if not total:
+                    break
+                child = np.arange(total) + np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+                who, state = np.repeat(who, count), np.repeat(state, count)
+                letter, at = self.letters[depth][child], offset[who] + depth - most
+                seen = np.zeros(total, "int32")
+                for t, bit in enumerate(bits):
+                    seen += (flat[at + t] == letter) * bit
+                state = steps[state, seen]
+                live = (state > 0) & (depth + 1 <= sizes[who] + most)
+                who, node, state = who[live], child[live], state[live]
+                if not len(who):
+                    break
+
+
 class Trie:
-    """A vocabulary as nested dicts, walked by a Levenshtein automaton whose edits are the look-alikes."""
+    """A vocabulary as nested dicts, walked by an automaton whose edits are the look-alikes."""
 
     def __init__(self, words):
         self.root: dict = {}
@@ -88,6 +194,35 @@ class Trie:
         return out
 
 
+def weighed(read: str, printed: str) -> tuple[tuple[int, int, str], ...]:
+    """The wrong stretches on the lightest way from ``printed`` to ``read`` by any edits, as (begin, end, what was printed
+    there). A letter that was not read at all is told with the letter beside it."""
+    n, m = len(read), len(printed)
+    best: dict[tuple[int, int], tuple[int, tuple]] = {(0, 0): (0, ())}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            here = best.get((i, j))
+            if here is None:
+                continue
+            weight, spans = here
+            steps = [(i + 1, j + 1, (weight, spans))] if i < n and j < m and read[i] == printed[j] else []
+            for size in (1, 2):
+                for p in _READ.get(read[i : i + size], ()) if i + size <= n else ():
+                    if printed.startswith(p, j):
+                        steps.append((i + size, j + len(p), (weight + 1, (*spans, (i, i + size, p)))))
+            if i < n:
+                steps.append((i + 1, j, (weight + OTHER, (*spans, (i, i + 1, "")))))
+                if j < m:
+                    steps.append((i + 1, j + 1, (weight + OTHER, (*spans, (i, i + 1, printed[j])))))
+            if j < m and n:
+                lost = (i - 1, i, read[i - 1] + printed[j]) if i else (0, 1, printed[j] + read[0])
+                steps.append((i, j + 1, (weight + OTHER, (*spans, lost))))
+            for a, b, new in steps:
+                if (a, b) not in best or new[0] < best[a, b][0]:
+                    best[a, b] = new
+    return best.get((n, m), (0, ()))[1]
+
+
 def explain(read: str, printed: str) -> list[tuple[int, int]] | None:
     """The stretches (begin, end) of ``read`` that look-alikes turned wrong, fewest first; None if anything else differs."""
     found = aligned(read, printed)
@@ -123,7 +258,7 @@ def _changes(word: str, known: str | None) -> tuple[tuple[int, int, str], ...]:
     """The wrong stretches of a word with what was printed there; ``known`` is None for numbers."""
     if known is None:
         return tuple((a, b, "1" if word[a] == "l" else "0") for a, b in as_number(word) or ())
-    return tuple(aligned(word, known) or ())
+    return tuple(aligned(word, known) or weighed(word, known))
 
 
 def repaired(text: str, fixes) -> str:
@@ -163,7 +298,7 @@ def words_of(text: str, tail: bool = False) -> list[tuple[str, int]]:
             w = w[:-1]
         while w and w[0] in "!'’":
             w, a = w[1:], a + 1
-        if w and len(w) <= LONGEST:
+        if w:
             out.append((w.lower(), a))
     return out
 
@@ -197,8 +332,7 @@ def mark_lines(deliveries: DataFrame) -> DataFrame:
     newest = Window.partitionBy(*keys, "block_id").orderBy(F.desc_nulls_last("loaded_at"), "text")
     placed = placed.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
     page = Window.partitionBy(*keys)
-    up, down = page.orderBy("line_no", "block_id"), page.orderBy(F.desc("line_no"), F.desc("block_id"))
-    placed = placed.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down)).withColumn("_margin", F.min("x0").over(page))
+    placed = placed.withColumn("_up", F.row_number().over(page.orderBy("line_no", "block_id"))).withColumn("_down", F.count(F.lit(1)).over(page) + 1 - F.col("_up")).withColumn("_margin", F.min("x0").over(page))
     small = F.coalesce(F.col("font_size") <= 9, F.lit(True))
     edge = (F.least("_up", "_down") <= 3) & small & F.col("page").isNotNull()
     repeated = F.coalesce((F.col("font_size") <= 9) & F.array_contains("again", key), F.lit(False))
@@ -207,15 +341,24 @@ def mark_lines(deliveries: DataFrame) -> DataFrame:
     body = F.col("kind").isNull() & F.col("page").isNotNull() & F.col("candidate_id").isNotNull()
     lines = placed.withColumn("kind", kind).withColumn("_body", body)
     inside = Window.partitionBy(*keys, "_body").orderBy("line_no", "block_id")
-    ending, heading = F.substring("text", -END, END), F.substring("text", 1, END)
-    lines = lines.withColumn("before", F.when(F.col("_body"), F.lag(ending).over(inside))).withColumn("after", F.when(F.col("_body"), F.lead(heading).over(inside)))
+    lines = lines.withColumn("before", F.when(F.col("_body"), F.lag(_ending("text")).over(inside))).withColumn("after", F.when(F.col("_body"), F.lead(_heading("text")).over(inside)))
     return lines.select(
         "block_id", "candidate_id", "page", "line_no", "text", "top", "method", "kind", F.col("_body").alias("body"), "before", "after",
         (F.col("_body") & F.lag("block_id").over(inside).isNull()).alias("first"), (F.col("_body") & F.lead("block_id").over(inside).isNull()).alias("last"),
     )
 
 
-END = 100  # characters of the neighbouring lines that are kept; a word has LONGEST at most
+_BLANKS = " \t\r\n\v\f\u00a0"
+
+
+def _ending(c: str):
+    """What follows the last blank of a line: all that a word broken at its end can hold."""
+    return F.substring_index(F.rtrim(c, F.lit(_BLANKS)), " ", -1)
+
+
+def _heading(c: str):
+    """What precedes the first blank of a line."""
+    return F.substring_index(F.ltrim(c, F.lit(_BLANKS)), " ", 1)
 
 
 def chain_lines(marked: DataFrame) -> DataFrame:
@@ -224,8 +367,8 @@ def chain_lines(marked: DataFrame) -> DataFrame:
     columns = ["block_id", "candidate_id", "page", "line_no", "text", "method", "before", "after"]
     body = marked.where("body")
     border = body.where("first or last")
-    tails = border.where("last").select("candidate_id", (F.col("page") + 1).alias("page"), F.substring("text", -END, END).alias("_before"))
-    heads = border.where("first").select("candidate_id", (F.col("page") - 1).alias("page"), F.substring("text", 1, END).alias("_after"))
+    tails = border.where("last").select("candidate_id", (F.col("page") + 1).alias("page"), _ending("text").alias("_before"))
+    heads = border.where("first").select("candidate_id", (F.col("page") - 1).alias("page"), _heading("text").alias("_after"))
     joined = border.join(tails, ["candidate_id", "page"], "left").join(heads, ["candidate_id", "page"], "left")
     joined = joined.withColumn("before", F.coalesce("before", F.when(F.col("first"), F.col("_before")))).withColumn("after", F.coalesce("after", F.when(F.col("last"), F.col("_after"))))
     return body.where("not first and not last").select(*columns).unionByName(joined.select(*columns))
@@ -261,8 +404,8 @@ def _pieces(lines: DataFrame) -> DataFrame:
                         whole, offset = head + w, len(head)
                     if ends and k == len(found) - 1:
                         whole = whole + ends[1].lower().split("-", 1)[0]
-                    rows.append((block, whole[:LONGEST], a, offset, len(w), left))
-                    left = whole[:LONGEST]
+                    rows.append((block, whole, a, offset, len(w), left))
+                    left = whole
             if rows:
                 yield pd.DataFrame(rows, columns=["block_id", "word", "begin", "offset", "size", "left"])
 
@@ -281,38 +424,50 @@ def word_counts(texts: DataFrame) -> DataFrame:
     hidden = F.when(net, shown).otherwise(F.lower("text"))
     single = F.regexp_extract_all(hidden, F.lit(r"([\p{L}\p{M}\p{N}†@$](?:[\p{L}\p{M}\p{N}†@!$'’]*[\p{L}\p{M}\p{N}†@$])?)"), 1)
     compound = F.when(F.contains("text", F.lit("-")), F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,}(?:-\p{L}{2,})+)"), 1)).otherwise(F.array().cast("array<string>"))
-    words = same.select("n", F.explode(F.concat(F.filter(single, lambda w: F.length(w) <= LONGEST), F.transform(compound, lambda w: F.substring(w, 1, LONGEST)))).alias("word"))
+    words = same.select("n", F.explode(F.concat(single, compound)).alias("word"))
     return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def candidates(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, known, n, edits): for each unknown word every vocabulary word that look-alikes can have turned into it.
+    """(word, known, n, looks, edits): for each unknown word every other vocabulary word within ``reach`` of its length,
+    whatever the edits, and every one that up to ``MOST_EDITS`` look-alikes can have turned into it; ``edits`` is the
+    distance, NULL beyond the reach, ``looks`` the look-alikes, NULL where they alone don't explain the word. Words and
+    known words of any length.
 
-    Vocabulary words are sharded by length and hash, ``SHARD`` words a trie; an unknown word goes to all shards of the
-    lengths that its look-alikes allow.
+    Vocabulary words are sharded by length and hash, ``SHARD`` words a trie. An edit changes the length by one at most,
+    so an unknown word goes to the shards of the lengths up to ``MOST_EDITS`` away, ``ASKED`` words a task.
     """
-    sizes = {r["size"]: r["count"] for r in vocabulary.groupBy(F.length("word").alias("size")).count().collect()}  # one row a length
-    parts = {s: max(1, -(-n // SHARD)) for s, n in sizes.items()}
     spark = vocabulary.sparkSession
-    plan = spark.createDataFrame([(s, p, f"{s}/{i}") for s, p in parts.items() for i in range(p)] or [(0, 1, "0/0")], "size int, parts int, shard string")
-    known = vocabulary.select(F.col("word").alias("known"), "n").withColumn("size", F.length("known")).join(F.broadcast(plan.select("size", "parts").distinct()), "size")
-    known = known.select(F.concat_ws("/", F.col("size").cast("string"), F.pmod(F.xxhash64("known"), F.col("parts")).cast("string")).alias("shard"), "known", "n")
-    span = F.explode(F.sequence(F.length("word") - 3, F.length("word") + 2)).alias("size")
-    asked = unknown.select("word", span).join(F.broadcast(plan.select("size", "shard")), "size").select("shard", "word")
+    sizes = {r["size"]: r["count"] for r in vocabulary.groupBy(F.length("word").alias("size")).count().collect()}  # one row a length
+    asking = {r["size"]: r["count"] for r in unknown.groupBy(F.length("word").alias("size")).count().collect()}
+    plan, blocks = [], {}
+    for size, n in sizes.items():
+        parts = -(-n // SHARD)
+        heard = sum(asking.get(size + d, 0) for d in range(-MOST_EDITS, MOST_EDITS + 1))
+        blocks[size] = max(1, -(-heard // ASKED))
+        plan += [(size, parts, i, blocks[size]) for i in range(parts)]
+    plan = spark.createDataFrame(plan or [(0, 1, 0, 1)], "size int, parts int, part int, blocks int")
+    known = vocabulary.select(F.col("word").alias("known"), "n").withColumn("size", F.length("known")).join(F.broadcast(plan.where("part = 0").select("size", "parts", "blocks")), "size")
+    known = known.withColumn("part", F.pmod(F.xxhash64("known"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("size", "part", "block", "known", "n")
+    span = F.explode(F.sequence(F.length("word") - MOST_EDITS, F.length("word") + MOST_EDITS)).alias("size")
+    asked = unknown.select("word", span).join(F.broadcast(plan), "size").select("size", "part", F.pmod(F.xxhash64("word", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "word")
 
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         counts = dict(zip(right["known"], right["n"]))
-        trie, rows = Trie(counts), []
-        for w in left["word"]:
-            for k, edits in trie.near(w, MOST_EDITS).items():
-                if edits and len(k) >= 2:
-                    rows.append((w, k, counts[k], edits))
-        out = pd.DataFrame(rows, columns=["word", "known", "n", "edits"])
-        return out.astype({"n": "int64", "edits": "int32"})
+        rows, asked = [], sorted(set(left["word"]))
+        if asked and counts:
+            trie, letters = Trie(counts), LetterTrie(counts)
+            looks = {(w, k): n for w in asked for k, n in trie.near(w, MOST_EDITS).items() if n}
+            edits = {}
+            for most in sorted({reach(len(w)) for w in asked}):
+                edits |= {(w, k): d for w, k, d in letters.within([w for w in asked if reach(len(w)) == most], most) if d}
+            rows = [(w, k, counts[k], looks.get((w, k)), edits.get((w, k))) for w, k in looks.keys() | edits.keys()]
+        return pd.DataFrame(rows, columns=["word", "known", "n", "looks", "edits"]).astype({"n": "int64", "looks": "Int32", "edits": "Int32"})
 
     width = shuffle_width(spark)  # asked for by number, else little data of much work is put into one task
-    asked, known = asked.repartition(width, "shard"), known.repartition(width, "shard")
-    return asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(look_up, "word string, known string, n long, edits int")
+    keys = ["size", "part", "block"]
+    asked, known = asked.repartition(width, *keys), known.repartition(width, *keys)
+    return asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(look_up, "word string, known string, n long, looks int, edits int")
 
 
 def find_noise(deliveries: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
@@ -337,11 +492,17 @@ def find_noise(deliveries: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
     vocabulary = known.where((F.col("n") > 0) | (F.col("m") >= 6)).where(r"word rlike '^[\\p{L}\\p{M}]+$'").select("word", (F.col("n") + F.col("m")).alias("n"))
     odd = F.col("word").rlike("[†@!$0159í]")  # two letters are enough only with a sign that no word has
     unknown = known.where((F.col("n") == 0) & (letters >= 1) & ((F.length("word") >= 3) | (F.length("word") == 2) & odd)).where("m > 0").select("word", "m")
-    options = cut(candidates(unknown.select("word"), vocabulary)).join(unknown, "word").where("n > 4 * m")
+    options = cut(candidates(unknown.select("word"), vocabulary).where("length(known) >= 2")).join(unknown, "word")
     # Context: how often a candidate stands after the word before, over clean and scanned lines.
     beside = pieces.groupBy("left", "word").agg(F.count("*").alias("times"))
     context = options.select("word", "known").join(beside.withColumnRenamed("times", "seen"), "word").join(beside.select("left", F.col("word").alias("known"), "times"), ["left", "known"]).groupBy("word", "known").agg(F.sum(F.col("seen") * F.col("times")).alias("fits"))
-    ranked = options.join(context, ["word", "known"], "left").groupBy("word").agg(F.max_by("known", F.struct(-F.col("edits"), F.coalesce("fits", F.lit(0)), F.col("n"), F.col("known"))).alias("known"))
+    # A frequent word needs no context, a rare one does; an edit without a look-alike stands alone, in a word of some length,
+    # and only where the word that is meant goes on from the word before far more often: else it is a name or a typist's slip.
+    fits = F.coalesce("fits", F.lit(0))
+    often = F.col("n") > 4 * F.col("m")
+    likely = F.when(F.col("looks").isNotNull(), often | (F.col("n") > F.col("m")) & (fits > F.col("m"))).otherwise((F.col("edits") == 1) & (F.length("word") >= 6) & often & (fits > 4 * F.col("m")))
+    weight = F.coalesce("looks", OTHER * F.col("edits"))
+    ranked = options.join(context, ["word", "known"], "left").where(likely).groupBy("word").agg(F.max_by("known", F.struct(-weight, fits, F.col("n"), F.col("known"))).alias("known"))
     ranked = cut(ranked)
     numbers = pieces.where(r"word rlike '^[0-9lo]+$' and word rlike '[0-9]' and word rlike '[lo]'")
 
@@ -349,8 +510,7 @@ def find_noise(deliveries: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
         for pdf in batches:
             rows = []
             for block, word, begin, offset, size, good in zip(pdf["block_id"], pdf["word"], pdf["begin"], pdf["offset"], pdf["size"], pdf["known"]):
-                spans = as_number(word) if good is None else explain(word, good)
-                for a, b in spans or ():
+                for a, b, _ in _changes(word, good):
                     a, b = max(a, offset), min(b, offset + size)
                     if a < b:
                         rows.append((block, begin + a - offset, begin + b - offset))
@@ -374,7 +534,7 @@ def find_noise(deliveries: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
                     head, tail = b[0].lower(), b[1].lower()
                     inner = head.rsplit("-", 1)[-1] + tail.split("-", 1)[0]
                     dashed = text.rstrip()[-1] in "-‐‑"
-                    rows.append((block, head, tail, f"{head}-{tail}"[:LONGEST], inner[:LONGEST], head.rsplit("-", 1)[-1], tail.split("-", 1)[0], dashed))
+                    rows.append((block, head, tail, f"{head}-{tail}", inner, head.rsplit("-", 1)[-1], tail.split("-", 1)[0], dashed))
             if rows:
                 yield pd.DataFrame(rows, columns=["block_id", "head", "tail", "compound", "joined", "h", "t", "dashed"])
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lodeshift.llm.pii import LINES, _Table, find_items, find_pii, redact_pii, trained
-from lodeshift.llm.scans import MOST_EDITS, Trie, explain, find_noise, reflow, repaired, wrong_glyphs
+from lodeshift.llm.scans import MOST_EDITS, LetterTrie, Trie, candidates, explain, find_noise, levenshtein_states, reach, reflow, repaired, weighed, wrong_glyphs
 
 
 def test_held_out_lines():
@@ -40,6 +40,60 @@ def test_explained(read, printed, spans):
     assert explain(read, printed) == spans
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_levenshtein_automaton_is_complete(most):
+    r = random.Random(most)
+    words = {"".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(400)} | {"x" * 60 + "abc", "é" * 30}
+    asked = ["".join(r.choice("abcde") for _ in range(r.randrange(0, 10))) for _ in range(150)] + ["x" * 59 + "abcb", "é" * 28]
+    assert sorted(set(LetterTrie(words).within(asked, most))) == sorted({(a, w, d) for a in asked for w in words if (d := _distance(a, w)) <= most})
+    assert list(LetterTrie([]).within(asked, most)) == [] and levenshtein_states(most)[1].shape[1] == 2 * most + 1
+
+
+def test_candidates_equal_brute_force(spark):
+    r = random.Random(5)
+    words = {"".join(r.choice("dclrnmioes") for _ in range(r.randrange(2, 12))) for _ in range(500)} | {"rnrnrna", "hello", "x" * 57 + "end"}
+    asked = {w[:k] + e + w[k + s :] for w in list(words)[:120] for k, s, e in [(r.randrange(len(w)), r.choice((0, 1)), r.choice(("", "x", "1", "rn", "cl")))]} - {""}
+    asked |= {"mmma", "helo", "hallo", "helllo", "x" * 57 + "cnd", "x" * 56 + "end"}
+    got = {(a.word, a.known): (a.looks, a.edits, a.n) for a in candidates(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame([(w, len(w)) for w in words], "word string, n long")).collect()}
+    want = {}
+    for a in asked:
+        for w in words - {a}:
+            d, looks = _distance(a, w), explain(a, w)
+            if d <= reach(len(a)) or looks:
+                want[a, w] = (len(looks) if looks else None, d if d <= reach(len(a)) else None, len(w))
+    assert got == want and ("mmma", "rnrnrna") in got and {("helo", "hello"), ("hallo", "hello")} <= got.keys() and ("x" * 57 + "cnd", "x" * 57 + "end") in got
+
+
+@pytest.mark.parametrize(("read", "printed", "stretches"), [("helo", "hello", ((1, 2, "el"),)), ("elow", "below", ((0, 1, "be"),)), ("hxllo", "hello", ((1, 2, "e"),)), ("helllo", "hello", ((2, 3, ""),)), ("c1ear", "clear", ((1, 2, "l"),))])
+def test_stretches_of_any_edit(read, printed, stretches):
+    got = weighed(read, printed)
+    assert len(got) == len(stretches)
+    for a, b, p in reversed(got):
+        read = read[:a] + p + read[b:]
+    assert read == printed
+
+
+def test_long_words_and_far_lines(spark):
+    word = "donaudampfschifffahrtsgesellschaftskapitaenswitwe"  # longer than 40 letters
+    far = "x" * 150
+    pages = [[f"the {word[:-1]}c and the {word} of {far}-", f"{far} and the {word} here", f"over the {word[:30]}-", f"{word[30:]} was there"]]
+    rows = [(10 * p + k, "c", p, k, text, 50.0, 10.0 * k, 10.0, "ocr", None) for p, lines in enumerate(pages, 1) for k, text in enumerate(lines, 1)]
+    clean = spark.createDataFrame([(f"the {word} and {far}{far} was here",)] * 20, "text string")
+    noise = find_noise(spark.createDataFrame(rows, SCHEMA), clean)
+    assert {(r.block_id, r.kind) for r in noise["kinds"].collect()} == {(11, "split_word"), (13, "split_word"), (11, "misread")}
+    text = " ".join(r.text for r in reflow(noise).collect())
+    assert text == f"the {word} and the {word} of {far}{far} and the {word} here over the {word} was there"
+
+
 SCHEMA = "block_id long, candidate_id string, page int, line_no int, text string, x0 double, top double, font_size double, method string, loaded_at timestamp"
 
 
