@@ -1,13 +1,13 @@
 """Personal information in free text, found by a linear-chain conditional random field and replaced by placeholders.
 
-The field is trained here, on a small labelled table that is written out below as marked-up lines; its features are
-words, shapes, beginnings and endings of a token and its neighbours and the look of the whole line. Decoding is
-Viterbi in numpy over batches of lines of similar length.
+The field is trained here, on a small labelled table that ``pii_table`` draws from marked-up lines; its features are
+words, shapes, beginnings and endings of a token and its neighbours and the look of the whole line. Type sizes and
+places on the page are not used. Decoding is Viterbi in numpy over batches of lines of similar length.
 """
 
 from __future__ import annotations
 
-import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -18,211 +18,67 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeshift.llm.pii_table import LINES, Table
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 WIDTH = 1 << 17  # hashed features
+SEEN = 5  # rows of the labelled table that make a word known
+HIDDEN = 0.4
 REACH = 3  # neighbours on each side that a token sees
-LINES = 2400  # size of the labelled table that the lines below are drawn out to
 _TOKEN = regex.compile(r"\s{2,}|\p{N}+|[\p{L}\p{M}†]+|[^\s]")
 
-# The labelled table: marked-up lines, with slots that are filled from the lists below them.
-LABELLED = {
-    "contact": [
-        "{c}", "{c}{s}{c}", "{c}{s}{c}{s}{c}", "{c}{s}{c}{s}{c}{s}{c}", "{c}",
-    ],
-    "head": [
-        "[name:{n}]", "[name:{n}]", "[name:{n}]", "Name: [name:{n}]", "{t} [name:{n}]", "[name:{n}]",
-    ],
-    "furniture": [
-        "Application of [name:{n}]", "Application of [name:{n}] [{d}]", "Bewerbung von [name:{n}]", "Bewerbung von [name:{n}] - Seite {d}", "Curriculum vitae of [name:{n}]", "[name:{n}] - page {d}",
-        "CV [name:{n}] {d}", "Candidatura de [name:{n}]", "Candidature de [name:{n}] [{d}]", "Résumé of applicant", "Application documents - confidential", "Page {d}", "Seite {d} von {d}", "{d} / {d}", "- {d} -", "[ {d} ]",
-        "{town} Placement Dossier - shared applicant file", "Internal copy - not for circulation", "Bewerbungsunterlagen [{d}]", "Curriculum Vitae", "Curriculum Vitae - page {d}",
-    ],
-    "third": [
-        "{who} [name:{n}], Tel. [phone:{ph}]", "Ancien collègue : M. [name:{n}] ([phone:{ph}]).", "Ancien collègue : M. [name:{n}] ([phone:{ph}]).", "Emergency contact [phone:{ph}] ([name:{n}])", "Reference: [name:{n}], reachable under [phone:{ph}] on weekdays.",
-        "Nachweise liegen bei Frau [name:{n}], [address:{a}], vor.", "Nachweise liegen bei Herrn [name:{n}], [address:{a}], vor.", "[name:{n}] ([email:{e}], [phone:{ph}])", "Contact [name:{n}] or [name:{n}] about the handover.",
-        "Together with [name:{n}] and [name:{n}] I opened the {town} depot.", "Reported to Dr. [name:{n}] until the department moved.", "Reported to Prof. [name:{n}] until the department moved.", "[name:{n}] took over my route in {y}.", "Certificado firmado por la Sra. [name:{n}].",
-        "Certificado firmado por el Sr. [name:{n}].", "signed [name:{n}]", "signed [name:{n}]", "Please write to [email:{e}] for the full certificate.", "Send post to [address:{a}] and a copy to [email:{e}].", "Rented the workshop at [address:{a}] for two seasons.",
-        "Work permit issued, {il} [id_number:{id}], valid until further notice.", "Work permit issued, {il} [id_number:{id}], valid until further notice.", "My supervisor Mr. [name:{n}] can be reached at [phone:{ph}].", "Ask [name:{n}] for details.", "Chef direct : Mme [name:{n}], [email:{e}]",
-        "References: [name:{n}], [name:{n}]", "{who} [name:{n}], Tel. [phone:{ph}]", "Contact: {t} [name:{n}], [email:{e}]",
-    ],
-    "plain": [
-        "Order volume rose from 1,{d3},000 to 2,{d3},500 units.", "Project code TX-{d4}-{d}, phase 4.", "Certificate awarded in 2019-04 for {d4} accident-free days.", "Updated kit@{d}.{d1} and told @floor_team.", "Grid reference {d4}-{d4}, section {d}.",
-        "Installed build 2.{d}.0-{d4} on the floor terminals.", "Kept to standard QS {d4}:2015 throughout.", "Member of the {town} Garden Society since {y}.", "Member of the {town} Rowing Society since {y}.", "Budget {y}: EUR {d4}.{d} per site.", "Moved the {town} branch to {town} in {y}.",
-        "{org} | {job} | {m} {y} – {m} {y}", "{org} | {job} | {d1}/{y} – present", "{org} {sfx} | {job} @ {town} | {y}-0{d1}-1{d1} – {m} {y}", "{org}, {town} | {job} | {m} {y} – heute", "Team {w} | {job} | {y} – {y}", "Old {w} | Senior {job} | {m}. {y} – {d1}-{y}", "{acr} | {job} | {y} – {m} {d}",
-        "{job} | {m} {y} – {m} {y}", "The {w} {w} Retail Group | {job} ({x}) | {m} {y} – unknown", "Foods, {w} {w} | {job}, {town} | {d1} {m} {y} – {m} {y}",
-        "• {v} {adj} {obj} {tail}", "- {v} {adj} {obj} {tail}", "{v} {adj} {obj}", "{tail}. {v} {adj}", "{obj} {tail}.", "{v} {adj} {obj} {tail}.", "{adj} {obj} under a fixed annual", "budget", "{tail}", "consultants.", "level. {v} {adj} {obj}", "participating municipalities", "{y}", "{d}", "branches.",
-        "Key skills: {k}, {k}, {k}", "{k}; {k}; {k}; {k}", "Skills: {k} | {k} | {k}", "Also: {k},, {k}, {k},", "{k} • {k} • {k}", 'Tools – "{k}";"{k}";"{k}"', "SKILLS  {k}, {k}, and {k}", "Kompetenzen: {k} / {k}", "Technologies: {k},{k},{k}", "Herramientas: {k}, {k}, {k}, {k} and {k}", "Languages and methods: {k}, {k}, {k}", "Compétences : {k} - {k}", "{k}, 24/7 dispatch, {k} und {k}", "Tools: {k}\t{k}", "{k}",
-        "About me", "Experience", "WORK HISTORY", "References", "SUMMARY", "Profile", "Summary -", "Career –", "Key Skills", "KEY SKILLS", "Compétences", "Kompetenzen", "Tools and methods", "Education", "Languages",
-    ],
-}
-SLOTS = {
-    "first": "Anna Bruno Carla Dmitri Elsa Farid Greta Hugo Imre Jonas Karin Lukas Maren Nuria Otto Paula Ravi Sofia Timo Ugo Viola Walid Yara Zeno Àngel Élodie Øyvind Łukasz Jürgen Zoé Rosa Mira Ivo Noor Oskar Emre".split(),
-    "last": "Aldermann Brenford Castellux Dornikova Ehrstad Falconez Grimwell Hartsen Ibáñez Jorström Kaldaud Lindmere Montelli Norbrook Ostergard Pellmann Quirinoux Rosthurst Stellinen Tarbrook Ulfsen Varnides Westard Ylmaz Zandwick Ashgarth Belovic Corwell Dunstead Elkowska Marvley Holhurst Ormez Kestwell".split(),
-    "town": "Ashmark Brelling Corvesto Dunhaven Elmgate Farmouth Gildau Hartquay Isenberg Kaltfurt Lornfeld Marrowick Nordvelt Ostgate Pellbay Velmond Tesbrück Farnau Altamor Montrevel".split(),
-    "street": ["Mill Close", "Harrow Lane", "Quarry Road", "Fennel Avenue", "Ostermoor Street", "Castle Street", "Church Lane", "Station Road", "Birch Avenue"],
-    "strasse": ["Lindenweg", "Birkenallee", "Am Kranhof", "Hauptstraße", "Gartenweg", "Am Markt", "Eichenallee", "Schulstr."],
-    "rue": ["rue des Tilleuls", "rue du Port", "avenue de la Gare", "rue Saint-Jean"],
-    "calle": ["C/ Olmo", "C/ Mayor", "Calle Real", "Avda. del Sol"],
-    "host": "example.com example.org post.test mail.example norden.test inbox.velm.example gilda.example".split(),
-    "il": ["Passport no.", "Steuer-ID", "NI no.", "Personalausweis", "National ID", "ID card", "DNI", "SSN:", "SSN", "Carte d'identité n°", "Personal no.", "NIF"],
-    "el": ["E-mail: ", "mail ", "✉ ", "Courriel : ", "", "", "Mail: ", "Email: "],
-    "pl": ["Tel. ", "Phone: ", "Mobil ", "☎ ", "Tél. : ", "", "", "Mobile: ", "Tel.: "],
-    "al": ["Address: ", "wohnhaft ", "", "", "Adresse : ", "Anschrift: "],
-    "s": [" | ", "; ", "  ", " · ", ", "],
-    "t": ["Ms", "Mr", "Frau", "Herr", "Dr.", "Mme", "Mrs", "Prof.", "Sra."],
-    "who": ["Ansprechpartner: Herr", "Ansprechpartnerin: Frau", "Ansprechpartner: Herr", "Contacto: Sra."],
-    "org": ["Zilmar Tevonko Logistics", "Karsun Belmido Foods", "Norpal Ostreido Health Services", "Feldmar Rukonto Energy Partners", "Daldour Keistano", "Mirpos & Saltovo Systems"],
-    "sfx": ["GmbH", "S.A.", "Ltd", "plc", "AG"], "acr": ["NGLXF", "RMZD", "KTTQS", "BFFXW"],
-    "w": "Palvad Deikzat Nunnit Mairzul Redfeid Lonzoum Tarbeis".split(),
-    "job": ["Pastry Chef", "Registered Nurse", "Costume Maker", "grid engineer", "Hotel Receptionist", "Site Foreman", "Soil Scientist", "Line Cook", "Paralegal", "Stage Manager", "media buyer", "Concierge", "Gap year"],
-    "m": ["Jan", "February", "März", "abril de", "Mai", "JUNE", "Juli", "Aug", "Sep", "Oktober", "Nov", "Dec"],
-    "v": "Managed Reviewed Designed Scheduled Supervised Improved Prepared Monitored Launched Automated Consolidated Documented Introduced".split(),
-    "adj": "regional seasonal low-cost night-shift in-house high-volume cross-functional handwritten nationwide underground".split(),
-    "obj": ["payroll corrections", "training materials", "delivery corridors", "laboratory procedures", "harvest operations", "quality standards", "compliance documentation", "kitchen operations"],
-    "tail": ["under a fixed annual budget", "together with external consultants", "for three district branches", "across 62 participating municipalities", "using Veltrix and printed checklists", "with a team of 10 colleagues", "after the departmental reorganisation", "which shortened waiting times by 40 percent"],
-    "k": ["Voice Coaching", "Union Negotiation", "Portfolio Valuation", "Speech Recognition", "Exhibit Curation", "Irrigation control", "End-Of-Life Care", "Pen Tests", "Audio Mixing", "Data Protection Law", "Sem", "Asr", "Oculora [v2, v3]", "Brimstack (core; admin)", "Tarnwick", "Grundix", "Zephrio", "First Aid", "Crop Rotation", "Quorvane", "tender writing", "Sign Language", "Veltrix", "Arc Welding", "Menu planning", "Xandrel Suite", "A/B testing", "Pluvio (rain, snow)", "Stage Lighting", "Fire Protection", "Umbrilo"],
-    "x": ["temp", "m/f/d"],
-}
-
-
-class _Table:
-    """Draws the labelled table from the marked-up lines."""
-
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
-
-    def name(self) -> str:
-        r, pick = self.r, self.r.choice
-        first, last = pick(SLOTS["first"]), pick(SLOTS["last"])
-        if r.random() < 0.12:
-            first += "-" + pick(SLOTS["first"])
-        elif r.random() < 0.14:
-            first += " " + pick(SLOTS["first"])
-        if r.random() < 0.12:
-            first += f" {pick('ABEKMNT')}."
-        if r.random() < 0.1:
-            last += "-" + pick(SLOTS["last"])
-        if r.random() < 0.1:
-            last = pick(["van ", "de ", "O'", "Mac", "von ", "de la "]) + last
-        k = r.random()
-        out = f"{last}, {first}" if k < 0.12 else f"{pick('ABCDEFGHIJKLMNOPRSTUWZ')}. {last}" if k < 0.22 else f"{first} {last}"
-        return out.upper() if r.random() < 0.12 else out
-
-    def email(self) -> str:
-        r, pick = self.r, self.r.choice
-        first, last = pick(SLOTS["first"]).lower(), pick(SLOTS["last"]).lower()
-        user = pick([f"{first}.{last}", f"{last}{r.randrange(99)}", f"{first[0]}{last}", f"{first}-{last}", f"{last}_{first[0]}{r.randrange(99)}", f"{first}.{last}+jobs", f"{first}-{last}-{pick(SLOTS['last']).lower()}"])
-        host = pick(SLOTS["host"])
-        k = r.random()
-        if k < 0.07:
-            return f"{user} [at] {host}"
-        if k < 0.13:
-            return f"{user} AT {host.replace('.', ' DOT ')}"
-        if k < 0.19:
-            return f"{user}(at){host.replace('.', '(dot)')}"
-        out = f"{user}@{host}"
-        return out.upper() if k > 0.93 else out
-
-    def phone(self) -> str:
-        d = lambda n: "".join(self.r.choice("0123456789") for _ in range(n))
-        return self.r.choice([
-            f"+49 (0){d(2)} {d(5)}-{d(3)}", f"+49 {d(2)} {d(5)} {d(3)}", f"0049-{d(2)}-{d(8)}", f"0{d(2)}/{d(8)}", f"(555) 555-{d(4)}", f"555.555.{d(4)}", f"555-{d(4)}, ext. {d(2)}",
-            f"+1 555 555 {d(4)}", f"+44 20 {d(4)} {d(4)}", f"+44{d(6)} {d(4)}", f"020 {d(4)} {d(4)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3)} {d(2)} {d(2)} {d(2)}",
-        ])
-
-    def number(self) -> str:
-        d = lambda n: "".join(self.r.choice("0123456789") for _ in range(n))
-        c = lambda: self.r.choice("ABCLQXTZ")
-        return self.r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(8)}-{c()}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{c()}{d(7)}", f"{c()}{d(2)}{c()}{d(2)}{c()}{d(2)}", f"{c()}{c()} {d(2)} {d(2)} {d(2)} {c()}", f"{d(4)}-{d(4)}-{d(2)}"])
-
-    def address(self) -> str:
-        r, pick = self.r, self.r.choice
-        no, town, zipped = r.randrange(1, 260), pick(SLOTS["town"]), f"{r.randrange(10000, 99999)}"
-        code = f"{pick('VBL')}X{r.randrange(1, 9)} {r.randrange(1, 9)}QT"
-        road = pick(SLOTS["street"] + SLOTS["strasse"])
-        tail = pick([town, f"{town} {code}", f"{zipped} {town}", f"D-{zipped} {town}", town])
-        return pick([
-            f"{no} {road}, {tail}", f"{no} {road}, Apt {r.randrange(1, 30)}, {town}", f"{road} {no}{pick(['', 'a', 'b', 'c'])}, {tail}", f"{road} {no}/{r.randrange(1, 13)}, {town}", f"{no} {pick(SLOTS['rue'])}, {zipped} {town}",
-            f"{pick(SLOTS['calle'])} {no}, {r.randrange(1, 6)}º B, {zipped} {town}", f"P.O. Box {no}, {town}", f"{pick(SLOTS['strasse'])} {no}, {zipped} {town}",
-        ])
-
-    def contact(self) -> str:
-        pick = self.r.choice
-        return pick([
-            f"{pick(SLOTS['el'])}[email:{self.email()}]", f"{pick(SLOTS['pl'])}[phone:{self.phone()}]", f"{pick(SLOTS['al'])}[address:{self.address()}]", f"{pick(SLOTS['il'])} [id_number:{self.number()}]",
-        ])
-
-    def fill(self, line: str) -> str:
-        r = self.r
-        made = {"n": self.name, "e": self.email, "ph": self.phone, "id": self.number, "a": self.address, "c": self.contact}
-        separator = r.choice(SLOTS["s"])
-
-        def slot(m) -> str:
-            k = m[1]
-            if k == "s":
-                return separator
-            if k in made:
-                return made[k]()
-            if k == "y":
-                return str(r.randrange(1990, 2027))
-            if k == "d" or k.startswith("d") and k[1:].isdigit():
-                n = int(k[1:] or r.choice("12"))
-                return str(r.randrange(10 ** (n - 1), 10**n))
-            return r.choice(SLOTS[k])
-
-        out = regex.sub(r"\{(\w+)\}", slot, line)
-        return out
-
-    def rows(self, n: int) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        kinds = {"contact": 14.0, "head": 14.0, "furniture": 8.0, "third": 10.0, "plain": 10.0}
-        share = {"contact": 0.2, "head": 0.12, "furniture": 0.1, "third": 0.26, "plain": 0.32}
-        out = []
-        for kind, size in kinds.items():
-            lines = LABELLED[kind]
-            for i in range(int(n * share[kind])):
-                marked = self.fill(lines[i % len(lines)])
-                text, spans = unmark(marked)
-                font = size if self.r.random() > 0.06 else 0.0
-                if kind == "plain" and " | " in text and font:
-                    font = 11.0
-                if kind == "plain" and lines[i % len(lines)] in LABELLED["plain"][-15:] and font:
-                    font = 12.0
-                if self.r.random() < 0.06:  # noise of scanned pages
-                    text = "".join(_NOISE.get(c, c) if self.r.random() < 0.08 else c for c in text)
-                out.append((text, font, spans))
-        return out
-
-
-# Single characters as scanning misreads them; equal lengths keep the marks in place.
-_NOISE = {"t": "†", "a": "@", "o": "0", "l": "1", "i": "í", "e": "c", "h": "b", "n": "ri"[:1], "s": "5"}
-
-
-def unmark(marked: str) -> tuple[str, list[tuple[int, int, str]]]:
-    text, spans, last = "", [], 0
-    for m in regex.finditer(r"\[(email|phone|id_number|address|name):((?:[^\[\]]|\[at\])*)\]", marked):
-        text += marked[last : m.start()]
-        spans.append((len(text), len(text) + len(m[2]), m[1]))
-        text += m[2]
-        last = m.end()
-    return text + marked[last:], spans
+_SHAPES = ((regex.compile(r"\p{N}"), "9"), (regex.compile(r"\p{Ll}"), "x"), (regex.compile(r"\p{Lu}"), "X"), (regex.compile(r"x{3,}"), "x+"), (regex.compile(r"X{3,}"), "X+"))
 
 
 def shape(word: str) -> str:
-    out = regex.sub(r"\p{Lu}", "X", regex.sub(r"\p{Ll}", "x", regex.sub(r"\p{N}", "9", word)))
-    return regex.sub(r"(x)x{2,}", r"\1+", regex.sub(r"(X)X{2,}", r"\1+", out))
+    for pattern, sign in _SHAPES:
+        word = pattern.sub(sign, word)
+    return word
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
     return [("  " if m[0].isspace() else m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
-def _features(word: str) -> list[str]:
+# Patterns whose tokens are told to the model; it decides what they are worth.
+_EMAIL = regex.compile(r"[\p{L}\p{N}.+_†-]+\s?(?:@|\(at\)|\[at\]|\b(?:AT|at)\b)\s?[\p{L}\p{N}-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\b(?:DOT|dot)\b)\s?[\p{L}\p{N}-]+)*\s?(?:\.|\(dot\)|\[dot\]|\b(?:DOT|dot)\b)\s?[\p{L}†]{2,}")
+_DATE = regex.compile(r"(?<![\p{N}-])(?:(?:19|20)\p{N}{2}[-/.]\p{N}{1,2}(?:[-/.]\p{N}{1,2})?|\p{N}{1,2}[-/.]\p{N}{1,2}[-/.](?:19|20)?\p{N}{2}|\p{N}{1,2}[-/.](?:19|20)\p{N}{2}|(?:19|20)\p{N}{2}\s?[-–/]\s?(?:19|20)?\p{N}{2})(?![\p{N}-])")
+_DIGITS = regex.compile(r"(?<![\p{L}\p{N}])(?:\(?\+)?\(?\p{N}(?:[\s()./–-]{0,3}\p{N})*(?![\p{L}\p{N}])")
+_CODE = regex.compile(r"(?<![\p{L}\p{N}])(?=\S*\p{N}\S*\p{N}\S*\p{N})(?:\p{Lu}{1,6}[ -]?)?\p{N}[\p{Lu}\p{N}]*(?:[ -][\p{Lu}\p{N}]+)*(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\p{Lu}+\p{N}[\p{Lu}\p{N}]{4,}")
+_AMOUNT = regex.compile(r"\p{N}{1,3}(?:[.,]\p{N}{3})+(?!\p{N})|\p{N}+[.,]\p{N}{1,2}(?!\p{N})|\p{N}{1,2}:\p{N}{2}|(?<!\p{N})(?:19|20)\p{N}{2}(?!\p{N})|\p{N}+\s?%")
+_ROAD = regex.compile(r"(?i)\p{L}*(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ring|damm|ufer|steig)(?!\p{L})|\b(?:street|road|lane|avenue|close|drive|square|terrace|court|way|gardens|crescent|boulevard|rue|quai|place|impasse|chemin|calle|c/|avda|avenida|plaza|paseo|via|viale|rua|box|postfach|(?:am|an der|im|auf der) \p{Lu}\p{Ll}+)(?!\p{L})")
+
+
+def codes(text: str, toks: list[tuple[str, int, int]]) -> list[str]:
+    """What each token is part of: an address on the net, a run of digits (how many, how it begins), letters and digits
+    mixed, an amount, time, date or year, the word of a road."""
+    marks: list[tuple[int, int, str]] = []
+    if any(c.isdigit() for c in text):
+        for m in _DIGITS.finditer(text):
+            n = sum(c.isdigit() for c in m[0])
+            if n >= 4:
+                begin = "+" if "+" in m[0][:2] else "00" if m[0].startswith("00") else m[0][0] if m[0][0] in "0(" else "d"
+                marks.append((m.start(), m.end(), f"n{min(n, 16)}{begin}{'-' if '-' in m[0] else ''}"))
+        marks += [(m.start(), m.end(), f"c{shape(m[0])[:12]}") for m in _CODE.finditer(text) if any(c.isalpha() for c in m[0])]
+        marks += [(m.start(), m.end(), "a") for m in _AMOUNT.finditer(text)]
+        marks += [(m.start(), m.end(), "d") for m in _DATE.finditer(text)]
+        marks += [(m.start(), m.end(), "r") for m in _ROAD.finditer(text)]
+    if "@" in text or "at" in text or "AT" in text:
+        marks += [(m.start(), m.end(), "e") for m in _EMAIL.finditer(text)]
+    if not marks:
+        return [""] * len(toks)
+    return ["".join(sorted({k for x, y, k in marks if x < b and a < y})) for _, a, b in toks]
+
+
+@lru_cache(maxsize=50_000)
+def _features(word: str, known: bool = True) -> list[str]:
     low = word.lower()
-    out = [f"w={low}", f"s={shape(word)}", f"n={min(len(word), 9)}"]
+    out = [f"w={low}" if known or not word[0].isalpha() else "w=?", f"s={shape(word)}", f"n={min(len(word), 9)}"]
     if word[0].isalpha():
-        out += [f"p={low[:2]}", f"e={low[-3:]}", f"e2={low[-2:]}"]
-        out.append("lower" if word.islower() else "upper" if word.isupper() else "title" if word[0].isupper() else "mixed")
+        out += [f"p={low[:2]}", f"e={low[-3:]}", f"e2={low[-2:]}", f"e4={low[-4:]}"]
+        case = "lower" if word.islower() else "upper" if word.isupper() else "title" if word[0].isupper() else "mixed"
+        out += [case, f"{case}{known}", f"{case}{min(len(word), 4)}"]
     elif word.isdigit():
         out.append(f"d={len(word)}")
     else:
@@ -230,12 +86,12 @@ def _features(word: str) -> list[str]:
     return out
 
 
-def _line_features(words: list[str], font: float) -> list[str]:
+def _line_features(words: list[str]) -> list[str]:
     letters = [w for w in words if w[0].isalpha()]
-    big = sum(w[0].isupper() for w in letters)
+    big, size = sum(w[0].isupper() for w in letters) == len(letters), min(len(words), 7)
     return [
-        f"font={int(font)}", f"size={min(len(words), 7)}", f"big={big == len(letters)}{min(len(letters), 5)}", f"digits={any(w.isdigit() for w in words)}",
-        f"font{int(font)}size={min(len(words), 7)}", f"bar={'|' in words}{int(font)}", f"first={words[0].lower()}", f"font{int(font)}big={big == len(letters)}{min(len(letters), 5)}",
+        f"size={size}", f"big={big}{min(len(letters), 5)}", f"digits={any(w.isdigit() for w in words)}", f"bar={'|' in words}{big}", f"first={words[0].lower()}", f"last={words[-1].lower()}{size}",
+        f"caps={all(w.isupper() for w in letters)}{size}", f"ends={words[-1] if not words[-1][0].isalnum() else ''}{big}",
     ]
 
 
@@ -244,9 +100,11 @@ def _slot(feature: str, place: int) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def _word_slots(word: str, place: int) -> list[int]:
-    """The slots of a word's features at a place relative to the token that sees it; the empty word is the edge."""
-    return [_slot(f, place) for f in (_features(word) if word else ["edge"])]
+def _word_slots(word: str, place: int, known: bool) -> list[int]:
+    """The slots of a word's features at a place relative to the token that sees it; the empty word is the edge. Words that
+    the labelled table has less than ``SEEN`` times are one unknown word, so that the model learns what to make of those."""
+    features = _features(word, known) if word else ["edge"]
+    return [_slot(f, place) for f in (features if abs(place) < REACH else features[:2])]
 
 
 _BARS = ("|", "·", ";", "•", "  ")
@@ -256,48 +114,56 @@ class Crf:
     """Emissions from hashed features of tokens, neighbours and the line; transitions between tags."""
 
     def __init__(self):
-        self.weights = np.zeros((WIDTH, len(TAGS)))
-        self.steps = np.zeros((len(TAGS), len(TAGS)))
-        self.start = np.zeros(len(TAGS))
+        self.weights = np.zeros((WIDTH, len(TAGS)), "float32")
+        self.steps = np.zeros((len(TAGS), len(TAGS)), "float32")
+        self.start = np.zeros(len(TAGS), "float32")
         for i, a in enumerate(TAGS):  # an inside tag only follows its own kind
             for j, b in enumerate(TAGS):
                 if b[0] == "I" and a[2:] != b[2:]:
                     self.steps[i, j] = -1e4
         self.start[[i for i, t in enumerate(TAGS) if t[0] == "I"]] = -1e4
         self.memory: dict[str, np.ndarray] = {}
+        self.coded: dict[str, np.ndarray] = {}
+        self.known: frozenset[str] = frozenset()
 
-    def ids(self, words: list[str], font: float) -> list[list[int]]:
-        line = [_slot(f, 99) for f in _line_features(words, font)]
+    def ids(self, words: list[str], coded: list[str], hidden: frozenset[int] = frozenset()) -> list[list[int]]:
+        line = [_slot(f, 99) for f in _line_features(words)]
         out = []
         for i in range(len(words)):
             here = list(line)
             for k in range(-REACH, REACH + 1):
-                here += _word_slots(words[i + k] if 0 <= i + k < len(words) else "", k)
+                word = words[i + k] if 0 <= i + k < len(words) else ""
+                here += _word_slots(word, k, word.lower() in self.known and i + k not in hidden)
+            here += [_slot(f"c={coded[i + k]}", 50 + k) for k in (-1, 0, 1) if 0 <= i + k < len(words)]
             out.append(here)
         return out
 
-    def train(self, rows: list[tuple[str, float, list[tuple[int, int, str]]]], rounds: int = 9, rate: float = 0.25, keep: float = 2e-6, seed: int = 7) -> Crf:
+    def train(self, rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 5, rate: float = 0.25, keep: float = 2e-7, seed: int = 7) -> Crf:
         """Maximum likelihood by AdaGrad over batches of lines of equal length."""
         data = []
-        for text, font, spans in rows:
+        counts = Counter(w.lower() for text, _ in rows for w, _, _ in tokens(text))
+        self.known = frozenset(w for w, n in counts.items() if n >= SEEN)
+        r = np.random.default_rng(seed)
+        for text, spans in rows:
             toks = tokens(text)
             if not toks:
                 continue
+            # In every other line words are hidden, so that none is relied on too much.
+            hidden = frozenset(np.flatnonzero(r.random(len(toks)) < HIDDEN).tolist()) if r.random() < 0.5 else frozenset()
             tags = []
             for _, a, b in toks:
                 hit = next(((x, kind) for x, y, kind in spans if x <= a and b <= y), None)
                 tags.append("O" if hit is None else ("B-" if a == hit[0] else "I-") + hit[1])
-            data.append((self.ids([w for w, _, _ in toks], font), [TAGS.index(t) for t in tags]))
-        r = np.random.default_rng(seed)
-        seen_w, seen_t = np.full(self.weights.shape, 1e-6), np.full(self.steps.shape, 1e-6)
-        seen_s = np.full(self.start.shape, 1e-6)
+            data.append((self.ids([w for w, _, _ in toks], codes(text, toks), hidden), [TAGS.index(t) for t in tags]))
+        seen_w, seen_t = np.full(self.weights.shape, 1e-6, "float32"), np.full(self.steps.shape, 1e-6, "float32")
+        seen_s = np.full(self.start.shape, 1e-6, "float32")
         by_size: dict[int, list[int]] = {}
         for i, (x, _) in enumerate(data):
             by_size.setdefault(len(x), []).append(i)
         batches = []
         for group in by_size.values():
             group = r.permutation(group)
-            batches += [self._prepared([data[i] for i in group[k : k + 16]]) for k in range(0, len(group), 16)]
+            batches += [self._prepared([data[i] for i in group[k : k + 48]]) for k in range(0, len(group), 48)]
         for _ in range(rounds):
             for k in r.permutation(len(batches)):
                 flat, counts, touched, order, starts, owner, gold = batches[k]
@@ -313,7 +179,6 @@ class Crf:
                 s = grad_e[:, 0].sum(0) / n
                 seen_s += s * s
                 self.start += np.where(self.start < -1e3, 0, rate * s / np.sqrt(seen_s))
-        self.weights = self.weights.astype("float32")
         return self
 
     @staticmethod
@@ -350,34 +215,48 @@ class Crf:
         """The summed weights of a word's features at each place relative to the token that sees it."""
         known = self.memory.get(word)
         if known is None:
-            known = np.stack([self.weights[_word_slots(word, k)].sum(0) for k in range(-REACH, REACH + 1)]).astype("float32")
+            known = np.stack([self.weights[_word_slots(word, k, word.lower() in self.known)].sum(0) for k in range(-REACH, REACH + 1)]).astype("float32")
             if len(self.memory) > 60_000:
                 self.memory.clear()
             self.memory[word] = known
         return known
 
-    def decode(self, lines: list[tuple[list[str], float]]) -> list[np.ndarray]:
+    def _code(self, code: str) -> np.ndarray:
+        """The weights of a pattern at the token before it, its own and the one behind it."""
+        known = self.coded.get(code)
+        if known is None:
+            if len(self.coded) > 20_000:
+                self.coded.clear()
+            known = self.coded[code] = np.stack([self.weights[_slot(f"c={code}", 50 + k)] for k in (-1, 0, 1)]).astype("float32")
+        return known
+
+    def decode(self, lines: list[list[str]], coded: list[list[str]]) -> list[np.ndarray]:
         """The best tags of each line: Viterbi over batches of lines of similar length."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(lines)
-        order = sorted((i for i in range(len(lines)) if lines[i][0]), key=lambda i: len(lines[i][0]))
+        order = sorted((i for i in range(len(lines)) if lines[i]), key=lambda i: len(lines[i]))
         at = 0
         while at < len(order):
-            longest = len(lines[order[at]][0])
+            longest = len(lines[order[at]])
             count = max(1, min(512, 60_000 // (longest + 4)))
             batch = order[at : at + count]
             at += count
-            size = len(lines[batch[-1]][0])
+            size = len(lines[batch[-1]])
             vocabulary: dict[str, int] = {"": 0}
             ids = np.zeros((len(batch), size + 2 * REACH), int)
             mask = np.zeros((len(batch), size), bool)
             extra = np.zeros((len(batch), len(TAGS)), "float32")
+            patterns: dict[str, int] = {}
+            marked = np.full((len(batch), size + 2), -1)
             for row, i in enumerate(batch):
-                words, font = lines[i]
+                words = lines[i]
                 ids[row, REACH : REACH + len(words)] = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
                 mask[row, : len(words)] = True
-                extra[row] = self.weights[[_slot(f, 99) for f in _line_features(words, font)]].sum(0)
+                marked[row, 1 : 1 + len(words)] = [patterns.setdefault(c, len(patterns)) for c in coded[i]]
+                extra[row] = self.weights[[_slot(f, 99) for f in _line_features(words)]].sum(0)
             tables = np.stack([self._word(w) for w in vocabulary])
             emit = extra[:, None, :] + sum(tables[ids[:, REACH + k : REACH + k + size], k + REACH] for k in range(-REACH, REACH + 1))
+            told = np.concatenate([np.stack([self._code(c) for c in patterns]), np.zeros((1, 3, len(TAGS)), "float32")])  # -1 is the edge
+            emit += sum(told[marked[:, 1 + k : 1 + k + size], 1 + k] for k in (-1, 0, 1))
             bars = np.isin(ids[:, REACH : REACH + size], [vocabulary[w] for w in _BARS if w in vocabulary])
             emit[..., 1:] -= 1e4 * bars[..., None]  # what parts items belongs to none
             score = emit[:, 0] + self.start
@@ -395,7 +274,7 @@ class Crf:
                 path[:, i] = tag
                 tag = back[np.arange(len(batch)), i, tag]
             for row, i in enumerate(batch):
-                out[i] = path[row, : len(lines[i][0])]
+                out[i] = path[row, : len(lines[i])]
         return out
 
 
@@ -406,7 +285,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def trained(lines: int = LINES, seed: int = 11) -> Crf:
-    return Crf().train(_Table(seed).rows(lines))
+    return Crf().train(Table(seed).rows(lines))
 
 
 # Labels, forms of address and titles that don't belong to an item.
@@ -416,8 +295,6 @@ _BEFORE = regex.compile(
 _AT = regex.compile(r"@|\bat\b|\(at\)|\[at\]", regex.IGNORECASE)
 
 
-_EMAIL = regex.compile(r"[\p{L}\p{N}.+_†-]+\s?(?:@|\(at\)|\[at\]|\bAT\b)\s?[\p{L}\p{N}-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\bDOT\b)\s?[\p{L}\p{N}-]+)+")
-
 
 def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The exact bounds of an item, or None where it can't be one."""
@@ -456,10 +333,10 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return (a, b) if good else None
 
 
-def find_items(texts: list[str], fonts: list[float], model: Crf) -> list[list[tuple[int, int, str]]]:
+def find_items(texts: list[str], model: Crf) -> list[list[tuple[int, int, str]]]:
     """The personal items (begin, end, type) of each line."""
     cut = [tokens(t) for t in texts]
-    paths = model.decode([([w for w, _, _ in c], f) for c, f in zip(cut, fonts)])
+    paths = model.decode([[w for w, _, _ in c] for c in cut], [codes(t, c) for t, c in zip(texts, cut)])
     out = []
     for text, toks, path in zip(texts, cut, paths):
         found, i = [], 0
@@ -478,37 +355,32 @@ def find_items(texts: list[str], fonts: list[float], model: Crf) -> list[list[tu
     return out
 
 
-def _fonts(pdf: pd.DataFrame) -> list[float]:
-    return [0.0 if x is None or x != x else float(x) for x in pdf["font"]]
-
-
-def _lines(df: DataFrame, key: str, field: str, font: str | None) -> DataFrame:
-    size = F.col(f"`{font}`").cast("double") if font else F.lit(None).cast("double")
-    return df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{field}`").alias("text"), size.alias("font"))
+def _lines(df: DataFrame, key: str, field: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{field}`").alias("text"))
 
 
-def find_pii(df: DataFrame, key: str, field: str, font: str | None = None) -> DataFrame:
+def find_pii(df: DataFrame, key: str, field: str) -> DataFrame:
     """(block_id, pii_type, start_pos, end_pos) of every personal item in ``field``, in code points.
 
     NULL, empty and blank texts give no rows; long texts are read whole; repeated rows give repeated results; NULL keys
-    and NULL or missing font sizes are allowed; other columns are not read. The model is trained once on the driver
-    from the labelled table (``LINES`` rows) and sent to the workers; its size is fixed by ``WIDTH``.
+    are allowed; other columns are not read. The model is trained once on the driver from the labelled table (``LINES``
+    rows) and sent to the workers; its size is fixed by ``WIDTH``.
     """
     model = df.sparkSession.sparkContext.broadcast(trained())
     kind = dict(df.dtypes)[key]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = find_items(list(pdf["text"]), _fonts(pdf), model.value)
+            found = find_items(list(pdf["text"]), model.value)
             rows = [(k, t, a, b) for k, items in zip(pdf["id"], found) for a, b, t in items]
             if rows:
                 yield pd.DataFrame(rows, columns=["block_id", "pii_type", "start_pos", "end_pos"])
 
-    texts = _lines(df, key, field, font).where(r"text is not null and text rlike '\\S'")
+    texts = _lines(df, key, field).where(r"text is not null and text rlike '\\S'")
     return texts.mapInPandas(search, f"block_id {kind}, pii_type string, start_pos int, end_pos int")
 
 
-def redact_pii(df: DataFrame, key: str, field: str, font: str | None = None) -> DataFrame:
+def redact_pii(df: DataFrame, key: str, field: str) -> DataFrame:
     """(block_id, text) with ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[NAME]`` in place of the items.
 
     Every row stays, everything else in its text as it was; NULL and blank texts stay as they are. Else as ``find_pii``.
@@ -518,7 +390,7 @@ def redact_pii(df: DataFrame, key: str, field: str, font: str | None = None) ->
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = find_items([t or "" for t in pdf["text"]], _fonts(pdf), model.value)
+            found = find_items([t or "" for t in pdf["text"]], model.value)
             out = []
             for text, items in zip(pdf["text"], found):
                 for a, b, t in reversed(items):
@@ -526,4 +398,4 @@ def redact_pii(df: DataFrame, key: str, field: str, font: str | None = None) ->
                 out.append(text)
             yield pd.DataFrame({"block_id": pdf["id"], "text": out})
 
-    return _lines(df, key, field, font).mapInPandas(replace, f"block_id {kind}, text string")
+    return _lines(df, key, field).mapInPandas(replace, f"block_id {kind}, text string")

@@ -20,8 +20,15 @@ TOKENIZER_DIR = os.environ.get("LODESHIFT_TOKENIZERS", TOKENIZERS)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a table comes in few, small files."""
-    return df.repartition(shuffle_width(df.sparkSession))
+    """Rows over all cores where a table has fewer splits than cores; else as it is, no shuffle."""
+    spark = df.sparkSession
+    return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(shuffle_width(spark))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line once. Distributed by number of partitions, so that its one exchange also feeds all cores."""
+    lines = table(spark, sf_dir, "line_blocks").select("block_id", "text", "loaded_at").repartition(shuffle_width(spark), "block_id")
+    return latest(lines, "block_id", "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,18 +82,16 @@ def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = latest(table(spark, sf_dir, "line_blocks"), "block_id", "text", "font_size")
-    return find_pii(spread(blocks), "block_id", "text", "font_size").select("block_id", "pii_type", "start_pos")
+    return find_pii(_blocks(spark, sf_dir), "block_id", "text").select("block_id", "pii_type", "start_pos")
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = latest(table(spark, sf_dir, "line_blocks"), "block_id", "text", "font_size")
-    return redact_pii(spread(blocks), "block_id", "text", "font_size")
+    return redact_pii(_blocks(spark, sf_dir), "block_id", "text")
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    docs = documents.select("doc_id", "source", count_tokens(documents, "text", TOKENIZER_DIR).alias("tokens"))
+    docs = documents.select("doc_id", "source", count_tokens("text", TOKENIZER_DIR).alias("tokens"))
     targets = table(spark, sf_dir, "mix_targets")
     return balanced_mix(docs, targets), targets
 

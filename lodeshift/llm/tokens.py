@@ -153,8 +153,8 @@ def encode_corpus(df: DataFrame, key: str, field: str, folder: str = TOKENIZERS,
     return df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{field}`").alias("text")).mapInPandas(encode, f"doc_id {kind}, ids array<int>")
 
 
-def count_tokens(df: DataFrame, field: str, folder: str = TOKENIZERS, name: str = VOCABULARY):
-    """A column with the number of tokens of ``field``; 0 for NULL and empty texts."""
+def count_tokens(field: str, folder: str = TOKENIZERS, name: str = VOCABULARY):
+    """A column with the number of tokens of ``field``; 0 for NULL and empty texts. A filter on it doesn't count again."""
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -162,4 +162,4 @@ def count_tokens(df: DataFrame, field: str, folder: str = TOKENIZERS, name: str
         for s in texts:
             yield s.map(lambda t: len(bpe.encode(t))).astype("int64")
 
-    return count(F.coalesce(F.col(field), F.lit("")))
+    return count.asNondeterministic()(F.coalesce(F.col(field), F.lit("")))
