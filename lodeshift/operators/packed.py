@@ -44,12 +44,16 @@ class Splitter:
             self.automaton.add_word(k, len(k))
         if self.known:
             self.automaton.make_automaton()
+        # No known value holds more delimiters than this; a mark before it and one behind may be cleaned away.
+        self.inner = 2 + max((len(_STRONG.findall(k)) + len(_WEAK.findall(k)) for k in self.known), default=0)
 
     def spans(self, text: str) -> set[tuple[int, int]]:
         """Where known values stand as whole words."""
-        low = text.lower()
-        if not self.known or len(low) != len(text):  # a letter whose lower case is longer would shift the places
+        if not self.known:
             return set()
+        low = text.lower()
+        if len(low) != len(text):  # a letter whose lower case is longer stays, else it would shift the places
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         out = set()
         for last, size in self.automaton.iter(low):
             a, b = last - size + 1, last + 1
@@ -148,7 +152,8 @@ class Splitter:
                 options.append((best[i][0] + score, i))
                 if i and edges[i][2]:
                     skipped -= 100.0
-                if inner > 12:
+                # Beyond a delimiter that must cut, only a known value can begin, and none is so long.
+                if skipped < 0 and inner > self.inner:
                     break
             top = max(s for s, _ in options)
             best.append(next(x for x in options if x[0] == top))
@@ -178,13 +183,11 @@ class Splitter:
                 piece = piece.replace('""', '"')
         return piece.strip()
 
-    def lists(self, text: str) -> bool:
+    def lists(self, text: str, cover: list[tuple[str, bool]]) -> bool:
         """Whether a line lists known kinds of values: it has such a label, or known values make up
         half of its text, or a third of three or more short values."""
-        body, labelled = self.unlabelled(text.strip())
-        if labelled:
+        if self.unlabelled(text.strip())[1]:
             return True
-        cover = self.cover(text)
         size, hits = sum(len(v) for v, _ in cover), sum(known for _, known in cover)
         if not hits:
             return False
@@ -212,9 +215,10 @@ def split_packed(df: DataFrame, key: str, field: str, known: list[str], only_lis
         for pdf in batches:
             keys, numbers, items = [], [], []
             for k, text in zip(pdf["row_key"], pdf["text"]):
-                if only_lists and not splitter.lists(text):
+                cover = splitter.cover(text)
+                if only_lists and not splitter.lists(text, cover):
                     continue
-                for i, v in enumerate(splitter.values(text), 1):
+                for i, (v, _) in enumerate(cover, 1):
                     keys.append(k)
                     numbers.append(i)
                     items.append(v)

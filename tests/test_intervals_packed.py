@@ -104,3 +104,11 @@ def test_packed_rows(spark):
     assert sorted((r.row_key or "", r.item_no, r.item) for r in got if r.row_key != "5") == [("", 1, "z"), ("1", 1, "a"), ("1", 2, "b")]
     assert sum(r.row_key == "5" for r in got) == 3000
     assert split_packed(df.limit(0), "id", "text", KNOWN).count() == 0
+
+
+def test_packed_values_without_caps():
+    long_known = ", ".join(f"part {i}" for i in range(20))  # a known value with 19 delimiters
+    splitter = Splitter([*KNOWN, long_known])
+    assert splitter.values(f"x, {long_known}, y") == ["x", long_known, "y"]
+    many = " and ".join(f"a{i}" for i in range(30))
+    assert splitter.values(many) == [many] and splitter.values(f"İ; first aid and data modelling; {long_known}") == ["İ", "first aid", "data modelling", long_known]
