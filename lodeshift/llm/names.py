@@ -1,10 +1,11 @@
 """Variant spellings of the names of organisations, linked by merge-and-rematch.
 
-Each distinct spelling becomes a profile: the words of its proper name, its trade or kind, its initials. Profiles that
-share a blocking key merge; the merged profile holds the spellings and initials of all its members and enters blocking
-again, with wider keys, until nothing more merges. Keys are made so that sharing one is the match itself (the words of
-both names are equal but for one slip each, and the trades agree), so every block is linked to its smallest member
-and never expanded into pairs.
+Each spelling is taken apart into the words of its proper name and its trade or kind; equal parts are one profile. Profiles
+that share a blocking key merge, and the merged profile enters blocking again with what its members bring together: a
+word in one spelling takes the place of its variant in another, the initials and the acronym stand for all of them. This
+goes on until no profile finds another. Keys are of two sorts. Sharing a strong one is the match itself (the words are
+equal but for slips, the trades agree), so every block is linked to its smallest member and never expanded into pairs.
+An open key (initials, an acronym, a name without a trade) counts only where a single organisation answers to it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodeshift.llm.canonical import edits, shortened
 from lodeshift.operators.graph import connected_components
-from lodeshift.session import cut
+from lodeshift.session import cut, stored
 
 # Entries that name no organisation.
 NOBODY = frozenset(
@@ -126,24 +127,60 @@ def slips(word: str) -> list[str]:
     return [word, *{word[:i] + word[i + 1 :] for i in range(len(word))}] if len(word) > 4 else [word]
 
 
-def keys(core: list[str], trade: str | None, wide: bool) -> list[str]:
-    """Blocking keys of a spelling. ``wide``: a slip in each of two words, or words run together; else in one."""
-    mark = trade or ""
+def strong_keys(core: list[str], wide: bool = True, traded: bool = False) -> set[str]:
+    """Keys of the words of a name, whatever their order: names that share one are equal but for a slip in one word, in each
+    of two words (``wide``), or but for blanks (``wide``). A short word alone must be equal, shorter still with a trade."""
     if len(core) == 1:
-        return [f"{mark}|{v}" for v in (slips(core[0]) if len(core[0]) > 7 else core)]
-    if len(core) == 2:
+        return set(slips(core[0]) if len(core[0]) > (5 if traded else 7) else core)
+    out = set()
+    for i, word in enumerate(core):
+        rest = core[:i] + core[i + 1 :]
+        out |= {"+".join(sorted((x, *rest))) for x in slips(word)}
+    if wide and len(core) == 2:
         a, b = core
-        out = {"+".join(sorted((x, b))) for x in slips(a)} | {"+".join(sorted((a, y))) for y in slips(b)}
-        if wide:
-            out |= {"+".join(sorted((x, y))) for x in slips(a) for y in slips(b)}
-            out |= {v for joined in (a + b, b + a) for v in slips(joined)}
-        return [f"{mark}|{k}" for k in out]
-    joined = sorted(core)
-    return [f"{mark}|{'+'.join(joined)}"]
+        out |= {"+".join(sorted((x, y))) for x in slips(a) for y in slips(b)}
+        out |= {v for joined in (a + b, b + a) for v in slips(joined)}
+    return out
+
+
+def initial_keys(core: list[str], trade: str | None) -> set[str]:
+    """What may stand for a whole name: one of its words by its initial, all of them with the trade, its acronym."""
+    if len(core) < 2 or any(len(w) < 2 for w in core):
+        return set()
+    out = {"~" + w[0] + "+" + "+".join(sorted(core[:i] + core[i + 1 :])) + "|" + (trade or "") for i, w in enumerate(core)}
+    if trade:
+        out |= {"~" + "+".join(sorted(w[0] for w in core)) + "|" + trade, "acronym|" + "".join(w[0] for w in [*core, *trade.split()])}
+    return out
+
+
+def open_keys(core: list[str], trade: str | None, capitals: bool) -> set[str]:
+    """The same keys, as a spelling by initials or an acronym asks for them."""
+    letters, words = [w for w in core if len(w) == 1], [w for w in core if len(w) > 1]
+    if letters and len(core) > 1:
+        if len(letters) == 1:
+            return {"~" + letters[0] + "+" + "+".join(sorted(words)) + "|" + (trade or "")}
+        return {"~" + "+".join(sorted(letters)) + "|" + trade} if trade and not words else set()
+    return {"acronym|" + core[0]} if capitals and not trade and len(core) == 1 and len(core[0]) >= 3 else set()
+
+
+def crossed(cores: list[list[str]]) -> list[list[str]]:
+    """Names that no member of a profile has, but its members together do: a word of one replaced by its variant in another."""
+    by_slip: dict[str, set[str]] = {}
+    for w in {w for c in cores for w in c}:
+        for x in slips(w):
+            by_slip.setdefault(x, set()).add(w)
+    have, out = {tuple(sorted(c)) for c in cores}, {}
+    for c in cores:
+        for i, word in enumerate(c):
+            for v in sorted(set().union(*(by_slip[x] for x in slips(word))) - {word}):
+                new = [*c[:i], v, *c[i + 1 :]]
+                if tuple(sorted(new)) not in have:
+                    out[tuple(sorted(new))] = new
+    return [out[k] for k in sorted(out)]
 
 
 def _profiles(names: DataFrame, aliases: list[tuple[str, str]], suffixes: list[str]) -> DataFrame:
-    """One row per spelling: (field, name, core, trade); known names of an organisation carry its ``known`` key."""
+    """One row per spelling: (field, name, core, trade, capitals); known names of an organisation carry its ``known`` key."""
     known = {field: {} for field in TRADES}
     for alias, canonical in aliases:
         known["employer"][" ".join(regex.findall(r"[\p{L}\p{N}]+", flat(alias).lower()))] = canonical
@@ -160,29 +197,54 @@ def _profiles(names: DataFrame, aliases: list[tuple[str, str]], suffixes: list[s
                 whole = " ".join([*core, *(trade.split() if trade else [])])
                 loose = " ".join(regex.findall(r"[\p{L}\p{N}]+", flat(name).lower()))
                 said = known[field].get(loose) or known[field].get(whole) or known[field].get(" ".join(core))
-                rows.append((field, name, core, trade, said))
+                rows.append((field, name, core, trade, regex.fullmatch(r"[\p{Lu}.]{3,}", name.strip()) is not None, said))
             if rows:
-                yield pd.DataFrame(rows, columns=["field", "name", "core", "trade", "known"])
+                yield pd.DataFrame(rows, columns=["field", "name", "core", "trade", "capitals", "known"])
 
-    return names.mapInPandas(parse, "field string, name string, core array<string>, trade string, known string")
+    return names.mapInPandas(parse, "field string, name string, core array<string>, trade string, capitals boolean, known string")
 
 
-def _blocks(profiles: DataFrame, wide: bool) -> DataFrame:
-    """(field, key, id) of every spelling in every profile."""
+def _keys(units: DataFrame) -> DataFrame:
+    """(field, unit, sort, mark, key): sort is ``strong``, ``open`` or ``closed``; ``mark`` the trade of strong keys."""
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(f, k, i) for f, i, core, trade in zip(pdf["field"], pdf["id"], pdf["core"], pdf["trade"]) for k in keys(list(core), trade, wide)]
+            rows = []
+            for field, unit, cores, trade, capitals in zip(pdf["field"], pdf["unit"], pdf["cores"], pdf["trade"], pdf["capitals"]):
+                rows += [(field, unit, "strong", trade or "", k) for k in strong_keys(list(cores[0]), traded=bool(trade))]
+                for core in cores:  # in every order in which the words stand
+                    rows += [(field, unit, "closed", "", k) for k in initial_keys(list(core), trade)]
+                    rows += [(field, unit, "open", "", k) for k in open_keys(list(core), trade, bool(capitals))]
             if rows:
-                yield pd.DataFrame(rows, columns=["field", "key", "id"])
+                yield pd.DataFrame(rows, columns=["field", "unit", "sort", "mark", "key"])
+
+    return units.select("field", "unit", "cores", "trade", "capitals").mapInPandas(spell, KEYS)
+
+
+KEYS = "field string, unit string, sort string, mark string, key string"
 
-    return profiles.select("field", "id", "core", "trade").distinct().mapInPandas(spell, "field string, key string, id string")
 
+def _crossed_keys(profiles: DataFrame) -> DataFrame:
+    """The keys that the merged profiles (field, unit, cores, trades) bring beyond those of their members."""
 
-def _merge(profiles: DataFrame, links: DataFrame) -> DataFrame:
-    """Profiles with the ids of their components; links are (a, b) of ids."""
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for field, unit, cores, trades in zip(pdf["field"], pdf["unit"], pdf["cores"], pdf["trades"]):
+                for core in crossed([list(c) for c in cores]):
+                    for trade in list(trades) or [""]:
+                        rows += [(field, unit, "strong", trade, k) for k in strong_keys(core, False, bool(trade))]
+                        rows += [(field, unit, "closed", "", k) for k in initial_keys(core, trade or None)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["field", "unit", "sort", "mark", "key"])
+
+    return profiles.mapInPandas(spell, KEYS)
+
+
+def _merge(owners: DataFrame, links: DataFrame) -> DataFrame:
+    """(unit, id) with the ids of their components; links are (a, b) of ids."""
     components = connected_components(links)
-    return cut(profiles.join(components, profiles.id == components.node, "left").select("field", "name", "core", "trade", "known", F.coalesce("component", "id").alias("id")))
+    return cut(owners.join(components, owners.id == components.node, "left").select("unit", F.coalesce("component", "id").alias("id")))
 
 
 def _stars(blocks: DataFrame, by: list[str]) -> DataFrame:
@@ -191,13 +253,20 @@ def _stars(blocks: DataFrame, by: list[str]) -> DataFrame:
     return blocks.join(low.drop("top"), by).where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
+def _answers(asked: DataFrame, owned: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): each asking profile b with the one organisation a that has its keys; none where several have."""
+    single = owned.groupBy(*by).agg(F.min("id").alias("a"), F.max("id").alias("top"))
+    found = asked.join(single, by).where("not (a = id and top = id)")
+    return found.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"), F.max("top").alias("top")).where("a = top and a <> b").select("a", "b")
+
+
 def resolve_names(names: DataFrame, aliases: list[tuple[str, str]], suffixes: list[str]) -> DataFrame:
     """(field, name, organisation) of every spelling that names an organisation; equal organisations have equal keys.
 
     ``names`` has the columns field (``employer`` or ``institution``) and name; repeated rows count once. NULL, empty,
     blank and dummy names belong to no organisation and give no row, nor does an empty table. ``aliases`` and
-    ``suffixes`` are the fixed reference lists. Names without a trade join an organisation only where one alone has
-    that proper name.
+    ``suffixes`` are the fixed reference lists. Names without a trade, initials and acronyms join an organisation only
+    where one alone answers to them.
     """
     distinct = names.where("field is not null and name is not null").select("field", "name").distinct()
     parsed = _profiles(distinct, aliases, suffixes)
@@ -205,33 +274,42 @@ def resolve_names(names: DataFrame, aliases: list[tuple[str, str]], suffixes: li
         [("employer", x, None) for pair in aliases for x in pair] or [("employer", "", None)], "field string, name string, origin string"
     ).select("field", "name").distinct()
     seeds = _profiles(known, [*aliases, *((c, c) for _, c in aliases)], suffixes)
-    first = F.concat_ws("|", "field", F.coalesce("trade", F.lit("")), F.array_join(F.array_sort("core"), "+"))
-    profiles = cut(parsed.withColumn("real", F.lit(True)).unionByName(seeds.withColumn("real", F.lit(False))).withColumn("id", first))
-    real = profiles.where("real").select("field", "name").distinct()
-    profiles = profiles.drop("real").distinct()
-    # Known names first, then ever wider keys; merged profiles bring all their spellings into the next round.
-    said = profiles.where("known is not null").select("field", F.col("known").alias("key"), "id").distinct()
-    profiles = _merge(profiles, _stars(said, ["field", "key"]))
-    wide, before = False, -1
+    unit = F.concat_ws("|", "field", F.coalesce("trade", F.lit("")), F.array_join(F.array_sort("core"), "+"))
+    spelt = cut(parsed.withColumn("real", F.lit(True)).unionByName(seeds.withColumn("real", F.lit(False))).withColumn("unit", unit))
+    units = spelt.groupBy("field", "unit").agg(F.sort_array(F.collect_set("core")).alias("cores"), F.max("trade").alias("trade"), F.max("capitals").alias("capitals"), F.max("known").alias("known"), F.collect_set("known").alias("said"))
+    units = cut(units)
+    base = stored(_keys(units))
+    owners = units.select("unit", F.col("unit").alias("id"))
+    # First round: known names and strong keys at once.
+    said = units.select("field", F.explode("said").alias("key"), F.col("unit").alias("id"))
+    strong = base.where("sort = 'strong'").select("field", "mark", "key", F.col("unit").alias("id"))
+    links = cut(_stars(said, ["field", "key"]).unionByName(_stars(strong, ["field", "mark", "key"])).distinct())
+    extra = None
     while True:
-        blocks = _blocks(profiles, wide)
-        links = cut(_stars(blocks, ["field", "key"]))
-        merged = links.count()
-        if merged:
-            profiles = _merge(profiles, links)
-        if wide and (not merged or merged == before):
+        # Rematch: merged profiles bring the words and initials of all their members, until none finds another.
+        while links.count():
+            before, owners = owners, _merge(owners, links)
+            moved = owners.join(before.withColumnRenamed("id", "old"), "unit").groupBy("id").agg(F.max(F.col("old") != F.col("id")).alias("moved")).where("moved").select("id")
+            grown = units.join(owners, "unit").join(moved, "id", "left_semi").groupBy("field", F.col("id").alias("unit")).agg(F.sort_array(F.collect_set(F.element_at("cores", 1))).alias("cores"), F.sort_array(F.collect_set("trade")).alias("trades"))
+            fresh = stored(_crossed_keys(grown.where("size(cores) > 1")))
+            extra = fresh if extra is None else extra.unionByName(fresh)
+            named = fresh.where("sort = 'strong'").select("field", "mark", "key", F.col("unit").alias("id"))
+            asked = named.select("field", "mark", "key").distinct()
+            held = base.where("sort = 'strong'").join(asked, ["field", "mark", "key"], "left_semi").join(owners, "unit").select("field", "mark", "key", "id")
+            links = cut(_stars(held.unionByName(named).distinct(), ["field", "mark", "key"]))
+        table = base if extra is None else base.unionByName(extra)
+        sided = table.join(owners, "unit").select("field", "sort", "key", "id").distinct()
+        traits = units.join(owners, "unit").groupBy("id").agg(F.max(F.col("trade").isNotNull() | F.col("known").isNotNull()).alias("sure"))
+        sided = cut(sided.join(traits, "id"))
+        # Spellings by initials and acronyms, and those without a trade, where a single organisation answers.
+        short = _answers(sided.where("sort = 'open' and not sure").select("field", "key", "id"), sided.where("sort = 'closed'"), ["field", "key"])
+        short = short.unionByName(_answers(sided.where("sort = 'open' and sure and key like '~%'").select("field", "key", "id"), sided.where("sort = 'closed'"), ["field", "key"]))
+        bare = sided.where("sort = 'strong'")
+        links = cut(short.unionByName(_answers(bare.where("not sure").select("field", "key", "id"), bare.where("sure"), ["field", "key"])).distinct())
+        if not links.count():
             break
-        wide, before = True, merged
-    # Rematch of those without a trade: by proper name alone, where a single organisation with a trade has it.
-    bare = F.element_at(F.split("key", r"\|"), 2)
-    blocks = cut(_blocks(profiles, True).select("field", bare.alias("key"), (F.element_at(F.split("key", r"\|"), 1) == "").alias("open"), "id").distinct())
-    owners = profiles.groupBy("id").agg(F.max(F.col("trade").isNotNull()).alias("traded"), F.max(F.col("known").isNotNull()).alias("sure"))
-    sided = blocks.join(owners, "id")
-    closed = sided.where("traded or sure").groupBy("field", "key").agg(F.min("id").alias("a"), F.max("id").alias("top"))
-    loose = sided.where("not traded and not sure").select("field", "key", "id").distinct()
-    options = loose.join(closed, ["field", "key"]).groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"), F.max("top").alias("top"))
-    profiles = _merge(profiles, options.where("a = top").select("a", "b"))
-    return profiles.join(real, ["field", "name"], "left_semi").select("field", "name", F.col("id").alias("organisation")).distinct()
+    real = spelt.where("real").select("field", "name", "unit").distinct()
+    return real.join(owners, "unit").select("field", "name", F.col("id").alias("organisation")).distinct()
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from lodeshift.llm.names import Parser, resolve_names, variant_pairs
+from lodeshift.llm.names import Parser, crossed, resolve_names, strong_keys, variant_pairs
 
 ALIASES = [("brzq", "kelmo tarvin logistics"), ("old kelmo", "kelmo tarvin logistics"), ("fernis dorlat works", "kelmo tarvin logistics")]
 SUFFIXES = ["gmbh", "g.m.b.h.", "ltd", "ltd.", "s.a."]
@@ -41,3 +41,31 @@ def test_resolution(spark):
 def test_no_names(spark):
     empty = spark.createDataFrame([], "field string, name string")
     assert resolve_names(empty, [], []).count() == 0
+
+
+def _groups(spark, names, aliases=(), field="employer"):
+    resolved = resolve_names(spark.createDataFrame([(field, n) for n in names], "field string, name string"), list(aliases), SUFFIXES)
+    got = {}
+    for r in resolved.collect():
+        got.setdefault(r.organisation, set()).add(r.name)
+    return sorted(map(sorted, got.values()))
+
+
+def test_merged_profiles_find_what_no_member_finds(spark):
+    members = ["Alpha Beta Gamma Foods", "Alpha Betta Gamma Foods", "Alpha Beta Gammma Foods"]
+    late = "Alfpha Betta Gammma Foods"  # two slips from each member, one from what they hold together
+    assert not any(strong_keys(late.lower().split()[:3]) & strong_keys(m.lower().split()[:3]) for m in members)
+    assert _groups(spark, [*members, late]) == [sorted([*members, late])]
+    assert _groups(spark, [members[0], late]) == sorted([[members[0]], [late]])
+
+
+def test_initials_and_acronyms(spark):
+    group = ["Zilmar Tevonko Logistics", "Z. Tevonko Logistics", "Zilmar T. Logistics GmbH", "Z. T. Logistics", "ZTL", "Zilmar Tevnko Log."]
+    other = ["Orbel Tarvin Foods", "Orfan Tarvin Foods", "O. Tarvin Foods", "OTF"]  # two organisations answer to the last two
+    assert _groups(spark, group + other) == sorted([sorted(group), *([x] for x in other)])
+    assert _groups(spark, ["Kestel Orvan University", "K. Orvan Univ", "KOU"], field="institution") == [["K. Orvan Univ", "KOU", "Kestel Orvan University"]]
+
+
+@pytest.mark.parametrize(("cores", "new"), [([["alpha", "beta"], ["alpah", "betta"]], [["alpah", "beta"], ["alpha", "betta"]]), ([["alpha", "beta"]], []), ([["alpha"], ["omega"]], []), ([], [])])
+def test_crossed(cores, new):
+    assert crossed(cores) == sorted(new)
