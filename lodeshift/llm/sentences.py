@@ -8,7 +8,8 @@ of pages (headings, list items and lines of their own are units; hard wrapping i
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,60 +53,95 @@ _ORDINAL = regex.compile(r"\b\d{1,2}\.\s*$")
 _BROKEN = regex.compile(r"[\p{SB=ST}…\n\p{Thai}]")
 _FINAL = regex.compile(r"[\p{SB=ST}\p{SB=AT}…:][\p{Pe}\p{Pf}\"'”]*\s*$")
 _THAI_BLANK = regex.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])[^\S\r\n]+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
-_TOKEN = regex.compile(r"[\p{L}\p{M}.º№]+$|[\p{L}\p{M}\p{N}.]+$")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‚": "‘’", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "(": ")", "[": "]", "【": "】", "‹": "›", "〝": "〞", "‘": "’", '"': '"', "'": "'"}
-_MOST = 600  # a quotation longer than this is taken for an unmatched mark; it only guards against stray marks
+_MARKS = re.compile("[" + re.escape("".join(sorted({*_PAIRS, *"".join(_PAIRS.values())}))) + "]")
+_WORDS, _NUMBERS, _GLUED = regex.compile(r"[\p{L}\p{M}.º№]+"), regex.compile(r"[\p{L}\p{M}\p{N}.]+"), regex.compile(r"\S+")
+_NET = regex.compile(r"[@/\\]|www\.")
+_FIRST = regex.compile(r"[^\s-]+-?")
+_SHUT = regex.compile(r"[\p{Pe}\p{Pf}]*")
+_COLON = regex.compile(r"[:：]\s*$")
+_LETTERS = regex.compile(r"\p{L}+")
+_DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_HIRAGANA = regex.compile(r"\p{Hiragana}")
+COLUMNS = 130  # no hard wrapping is as wide; a longer line is a paragraph of its own
 _IDEOGRAPHIC = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _CASELESS = regex.compile(r"\p{SB=LE}")
 
 
 def _quotations(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Outermost matched quotations and brackets in text[a:b], as (begin, end)."""
-    out, i = [], a
-    while i < b:
-        c = text[i]
-        close = _PAIRS.get(c)
+    """Outermost matched quotations and brackets in text[a:b], as (begin, end). One pass: each kind of mark has a stack of
+    what is open, so a mark that nothing closes costs nothing and hides nothing, however far the next one is."""
+    open_: dict[str, list[int]] = {}
+    waiting: dict[str, list[str]] = {}  # by closing mark: the kinds it may close
+    found = []
+    for m in _MARKS.finditer(text, a, b):
+        i, c = m.start(), m[0]
+        before, after = text[i - 1] if i > a else " ", text[i + 1] if i + 1 < b else " "
+        closed = False
+        for kind in waiting.get(c, ()):
+            stack = open_.get(kind)
+            if not stack:
+                continue
+            if kind == "'" and (after.isalnum() or before not in ".!?,…") or kind == '"' and before.isspace() or c == "‘" and after.isalpha():
+                continue
+            found.append((stack.pop(), i + 1))
+            closed = True
+            break
+        close = None if closed else _PAIRS.get(c)
         if close is None:
-            i += 1
             continue
-        before, after = text[i - 1] if i > a else " ", text[i + 1] if i + 1 < b else " "
         plain = c in "\"'"
         if plain or c in "»‘“":
             # One mark for both sides, or one that closes elsewhere: it opens after a blank, an opener or a dash.
-            opens = (before.isspace() or before in "([{¿¡—–-：:，。、；！？" or plain is False and _IDEOGRAPHIC.match(before)) and not after.isspace()
+            opens = (before.isspace() or before in "([{¿¡—–-：:，。、；！？" or not plain and _IDEOGRAPHIC.match(before)) and not after.isspace()
             if c == '"' and not opens and i > a and before in ".!?…।。" and after.isupper():
                 opens = True
             if not opens and not (c == "“" and (_IDEOGRAPHIC.match(after) or after.isupper() and before in ".!?")):
-                i += 1
                 continue
-        depth, j = 1, i + 1
-        stop = min(b, i + _MOST)
-        while j < stop:
-            d = text[j]
-            if d in close:
-                if c == "'" and (j + 1 < b and text[j + 1].isalnum() or text[j - 1] not in ".!?,…"):
-                    j += 1
-                    continue
-                if c == '"' and text[j - 1].isspace():
-                    j += 1
-                    continue
-                if c == "‘" and j + 1 < b and text[j + 1].isalpha():
-                    j += 1
-                    continue
-                depth -= 1
-                if not depth:
-                    break
-            elif d == c and not plain:
-                depth += 1
-            j += 1
-        if j < stop and not depth:
-            out.append((i, j + 1))
-            i = j + 1
-        else:
-            i += 1
+        if plain and open_.get(c):
+            open_[c][-1] = i  # two in a row open: the first is unmatched
+            continue
+        open_.setdefault(c, []).append(i)
+        for d in close:
+            kinds = waiting.setdefault(d, [])
+            if c not in kinds:
+                kinds.append(c)
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or x >= out[-1][1]:
+            out.append((x, y))
     return out
 
 
+class _Runs:
+    """The runs of token letters and of non-blanks in a paragraph, found once: what stands before a terminator."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.text, self.a, self.b = text, a, b
+        self.runs: list[list[tuple[int, int]]] = [[], [], []]
+        self.begins: list[list[int]] = [[], [], []]
+        self.sign: dict[int, int] = {}
+
+    def _begin(self, kind: int, stop: int) -> int:
+        if not self.runs[kind]:
+            self.runs[kind] = [m.span() for m in (_WORDS, _NUMBERS, _GLUED)[kind].finditer(self.text, self.a, self.b)]
+            self.begins[kind] = [x for x, _ in self.runs[kind]]
+        k = bisect_left(self.begins[kind], stop) - 1
+        return self.runs[kind][k][0] if k >= 0 and stop <= self.runs[kind][k][1] else stop
+
+    def token(self, stop: int) -> str:
+        return self.text[min(self._begin(0, stop), self._begin(1, stop)) : stop]
+
+    def on_the_net(self, stop: int) -> bool:
+        """Whether what stands before ``stop`` without a blank is an address on the net or a path."""
+        begin = self._begin(2, stop)
+        if begin not in self.sign:
+            end = self.runs[2][bisect_left(self.begins[2], stop) - 1][1] if begin < stop else stop
+            m = _NET.search(self.text, begin, end)
+            self.sign[begin] = m.end() if m else len(self.text) + 1
+        return self.sign[begin] <= stop
+
+
 def _paragraphs(text: str) -> Iterator[tuple[int, int, bool]]:
     """Runs of lines that belong together, as (begin, end, whether it is one unit whatever it holds)."""
     lines = []
@@ -113,8 +149,11 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int, bool]]:
         if m.end() == m.start():
             break
         lines.append((m.start(), m.end(), len(m[0].rstrip())))
-    width = max((n for _, _, n in lines), default=0)
-    wrapped_doc = width <= 130
+    # The width of the wrapping is that of the longest line no wider than ``COLUMNS``; wider lines aren't wrapped. Where such
+    # lines stand beside, most lines of a text that goes on in the next must come near it, else each is a paragraph.
+    width = max((n for _, _, n in lines if n <= COLUMNS), default=0)
+    inner = [n for (_, _, n), (_, _, m) in zip(lines, lines[1:]) if 0 < n <= COLUMNS and m]
+    wrapped = all(n <= COLUMNS for _, _, n in lines) or width >= 40 and len(inner) >= 4 and 3 * sum(n >= 0.75 * width for n in inner) >= 2 * len(inner)
     begin, item = None, False
     for k, (a, b, n) in enumerate(lines):
         if not n:
@@ -128,12 +167,12 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int, bool]]:
         if begin is not None:
             pa, _, pn = lines[k - 1]
             head = line.lstrip()
-            word = regex.match(r"[^\s-]+-?", head)
+            word = _FIRST.match(head)
             size = word.end() if word else 0
             # A line break is a hard wrap where the next word would not have fitted into the line. Some slack: widths
             # are measured on lines in which something may have been put in later.
             ended = _FINAL.search(text, pa, pa + pn) is not None
-            goes_on = wrapped_doc and pn >= 30 and (pn + 1 + size > width - 6 or pn >= 40 and not ended and pn >= 0.55 * width)
+            goes_on = wrapped and 30 <= pn <= COLUMNS and (pn + 1 + size > width - 6 or pn >= 40 and not ended and pn >= 0.55 * width)
             numbered = _NUMBERED.match(line)
             if mark and not (goes_on and line.lstrip()[:1] in "-–—" and not item):
                 goes_on = False
@@ -141,7 +180,7 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int, bool]]:
                 mark = numbered
             if not mark and pn >= 20 and _ORDINAL.search(text, pa, pa + pn) and head.split(maxsplit=1)[0].lower().strip(".,") in GERMAN_MONTHS:
                 goes_on = True
-            if goes_on and regex.search(r"[:：]\s*$", text[pa : pa + pn]) and pn < 30:
+            if goes_on and _COLON.search(text, pa, pa + pn) and pn < 30:
                 goes_on = False
         else:
             mark = mark or _NUMBERED.match(line)
@@ -153,7 +192,7 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int, bool]]:
         yield begin, len(text), item
 
 
-def _ends(text: str, a: int, stop: int, after: int, b: int, one_dot: bool) -> bool:
+def _ends(text: str, a: int, stop: int, after: int, b: int, one_dot: bool, runs: _Runs) -> bool:
     """Whether the terminator text[stop:after] (closers included) ends a sentence that began at or after a."""
     nxt = after
     while nxt < b and text[nxt].isspace():
@@ -176,23 +215,21 @@ def _ends(text: str, a: int, stop: int, after: int, b: int, one_dot: bool) -> bo
     term = text[stop]
     if closed and text[nxt : nxt + 8].startswith(GO_ON) and _CASELESS.match(c):
         return False
-    if closed and not blank and _IDEOGRAPHIC.match(c) and regex.match(r"[\p{Hiragana}]", c):
+    if closed and not blank and _IDEOGRAPHIC.match(c) and _HIRAGANA.match(c):
         return False
     if closed and dashed and text[nxt] in "—–-" and not first.isupper():
         return False
     if term not in ".․﹒．" or not one_dot:
         return blank or term != "." or not first.isalnum() or first.isupper() or bool(_CASELESS.match(first))
-    token = _TOKEN.search(text, max(a, stop - 24), stop)
-    word = token[0] if token else ""
+    word = runs.token(stop)
     low = word.lower().strip(".")
     if not blank:
         if c.isdigit() or not (c.isupper() or _CASELESS.match(c) or c in "\"“„«»¿¡—([‘'•"):
             return False  # rule 6
         # Rule 7 keeps "S.A" and file names together; a word in small letters, a number or a closer before is an end.
-        glued = regex.search(r"\S*$", text[max(a, stop - 40) : stop])[0]
         if closed:
             return True
-        if regex.search(r"[@/\\]|www\.", glued) or "." in word and not regex.fullmatch(r"[\d.]+|\p{Ll}+\.\p{Ll}\.?|v?[\d.]+", word):
+        if runs.on_the_net(stop) or "." in word and not regex.fullmatch(r"[\d.]+|\p{Ll}+\.\p{Ll}\.?|v?[\d.]+", word):
             return False
         if low in NEVER or low in BEFORE_NUMBER and len(low) < 3:
             return False
@@ -203,7 +240,7 @@ def _ends(text: str, a: int, stop: int, after: int, b: int, one_dot: bool) -> bo
     if closed:
         return True
     if low in ("a.m", "p.m"):
-        follow = regex.match(r"\p{L}+", text[nxt:b])
+        follow = _LETTERS.match(text, nxt, b)
         return not (follow and follow[0].lower() in ZONES)
     if low in NEVER or word.lower() in NEVER:
         if low in ("p", "m", "z", "b", "d", "v", "t") and word.isupper() and len(word) == 1:
@@ -218,10 +255,10 @@ def _ends(text: str, a: int, stop: int, after: int, b: int, one_dot: bool) -> bo
         return False  # an initial
     if len(low) == 1 and word.islower() and word not in ("т",):
         return False
-    if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word) and len(low) == 3 and word.islower() and low not in ("т.д", "т.п", "a.m", "p.m"):
+    if _DOTTED.fullmatch(word) and len(low) == 3 and word.islower() and low not in ("т.д", "т.п", "a.m", "p.m"):
         return False
     if low.isdigit():
-        follow = regex.match(r"\p{L}+", text[nxt:b])
+        follow = _LETTERS.match(text, nxt, b)
         if follow and follow[0].lower() in GERMAN_MONTHS:
             return False
         if stop - len(word) <= a:
@@ -254,6 +291,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         if stops:
             quotes = _quotations(text, a, b)
             begins = [x for x, _ in quotes]
+            runs = _Runs(text, a, b)
         for m in stops:
             stop, after = m.start(), m.end()
             k = bisect_right(begins, stop) - 1
@@ -265,10 +303,10 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                 while after < b and text[after] in "”’»」』）)]\"" and not any(x == after for x in begins):
                     after += 1
             else:
-                closers = regex.compile(r"[\p{Pe}\p{Pf}]*").match(text, after, b)
+                closers = _SHUT.match(text, after, b)
                 after = closers.end()
             one_dot = m.end() - m.start() == 1
-            if _ends(text, a, stop, after, b, one_dot):
+            if _ends(text, a, stop, after, b, one_dot, runs):
                 cuts.append(after)
         last = a
         for c in sorted(set(cuts)):

@@ -90,3 +90,21 @@ def test_ids_of_odd_tables(spark, reference):
     got = {r.doc_id: r.ids for r in encode_corpus(df, "id", "t").collect()}
     assert got == {1: reference.encode_ordinary("Hello world"), 2: [], 3: []}
     assert encode_corpus(df.limit(0), "id", "t").count() == 0
+
+
+def test_no_switches_by_width():
+    wrapped = "The committee met in the town hall and agreed that the plan should be\nfollowed without any change. It was then signed by all of its members and\nsent to the printer, who had been waiting for it since the early morning,\nand who set it in type at once. Nothing else was done that day in the hall\nor outside."
+    long_line = "A paragraph on one line. " * 20
+    units = [wrapped[a:b] for a, b in sentence_spans(wrapped)]
+    both = long_line.strip() + "\n\n" + wrapped
+    assert [both[a:b] for a, b in sentence_spans(both)] == ["A paragraph on one line."] * 20 + units and len(units) == 3
+    unwrapped = "\n".join(["This paragraph stands on a line of its own and is short enough.", "So does this one, it is shorter.", long_line.strip()])
+    assert [unwrapped[a:b] for a, b in sentence_spans(unwrapped)][:2] == unwrapped.split("\n")[:2]
+
+
+def test_quotations_of_any_length():
+    inner = "It rained all day. " * 60
+    text = f"They wrote “{inner.strip()}” and left. Then (an unmatched bracket. The end."
+    assert [text[a:b] for a, b in sentence_spans(text)] == [f"They wrote “{inner.strip()}” and left.", "Then (an unmatched bracket.", "The end."]
+    text = "See www.example.org/" + "a/" * 100 + "x.Y for more. Done."
+    assert [text[a:b] for a, b in sentence_spans(text)] == [text[:-6], "Done."]
