@@ -103,17 +103,42 @@ class Mapper:
         self.joined = {name.replace(" ", ""): name for name in self.names}
         self.words = {name: name.split() for name in self.names}
         self.common = {w for name in self.names for w in name.split()}
-        self.grams = defaultdict(set)
+        self.grams, self.holding = defaultdict(set), defaultdict(set)
+        self.flat = {name: (name.replace(" ", ""), self._grams(name.replace(" ", ""))) for name in self.names}
         for name in self.names:
-            for g in self._grams(name):
+            for g in self.flat[name][1]:
                 self.grams[g].add(name)
+            for w in self.words[name]:
+                self.holding[w].add(name)
+        self.near: dict[str, dict[str, float]] = {}
         self.memory: dict[str, str | None] = {}
 
     @staticmethod
-    def _grams(name: str) -> set[str]:
-        flat = name.replace(" ", "")
-        words = {w[:2] for w in name.split()}
-        return {flat[i : i + 2] for i in range(len(flat) - 1)} | words
+    def _grams(flat: str) -> set[str]:
+        return {flat[i : i + 2] for i in range(len(flat) - 1)}
+
+    def agreeing(self, typed: str) -> dict[str, float]:
+        """The words of all names that agree with a typed word, with how far."""
+        known = self.near.get(typed)
+        if known is None:
+            if len(self.near) > 100_000:
+                self.near.clear()
+            known = self.near[typed] = {w: a for w in self.common if (a := agreement(typed, w)) >= 0.6}
+        return known
+
+    def run_together(self, flat: str) -> set[str]:
+        """All names whose letters may be within a fifth of their length of ``flat``: an edit, swaps of neighbours included,
+        takes three pairs of letters away at most, and the lengths must fit."""
+        shared = defaultdict(int)
+        for g in self._grams(flat):
+            for name in self.grams.get(g, ()):
+                shared[name] += 1
+        out = set()
+        for name, (target, grams) in self.flat.items():
+            most = max(1, len(target) // 5)
+            if abs(len(target) - len(flat)) <= most and len(grams) - shared.get(name, 0) <= 3 * most:
+                out.add(name)
+        return out
 
     def mentions(self, text: str) -> list[str]:
         """Names at word borders, longest first where they overlap."""
@@ -136,14 +161,13 @@ class Mapper:
         """Token-set similarity: the letters of words that agree, over all letters of both sides."""
         words = list(self.words[name])
         total = sum(map(len, typed)) + sum(map(len, words))
-        pairs = sorted(((agreement(t, w) * len(w), i, j) for i, t in enumerate(typed) for j, w in enumerate(words)), reverse=True)
+        near = [self.agreeing(t) for t in typed]
+        pairs = sorted(((near[i][w] * len(w), i, j) for i in range(len(typed)) for j, w in enumerate(words) if w in near[i]), reverse=True)
         used_t, used_w, hit = set(), set(), 0.0
         for _, i, j in pairs:
             if i in used_t or j in used_w:
                 continue
-            a = agreement(typed[i], words[j])
-            if a < 0.6:
-                continue
+            a = near[i][words[j]]
             used_t.add(i)
             used_w.add(j)
             # An abbreviation counts as the word it stands for.
@@ -170,20 +194,14 @@ class Mapper:
         typed = text.split()
         if not typed:
             return None, 0.0
-        scores = defaultdict(int)
-        for g in self._grams(text):
-            for name in self.grams.get(g, ()):
-                scores[name] += 1
         best, top = None, 0.0
         flat = "".join(typed)
         core = [w for w in typed if w not in FILLERS and not w.isdigit() and not regex.fullmatch(r"v?\d+", w)] or typed
         flats = {flat, "".join(core)}
-        for name, n in scores.items():
-            target = name.replace(" ", "")
-            if n * 4 < min(len(target), len(flat)):
-                words_agree = any(shortened(t, w) for t in core for w in self.words[name])
-                if not words_agree:
-                    continue
+        # Every name that can score: it has a word that agrees with a typed one, or the letters run together.
+        options = {name for t in typed for w in self.agreeing(t) for name in self.holding[w]}.union(*(self.run_together(f) for f in flats))
+        for name in options:
+            target = self.flat[name][0]
             score = max(self.similarity(core, name), self.similarity(typed, name) if core != typed else 0.0)
             for f in flats:  # words run together, or cut apart
                 most = max(1, len(target) // 5)

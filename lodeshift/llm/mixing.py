@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeshift.session import cut
+from lodeshift.session import cut, shuffle_width
 
 BLOCK = 20_000  # documents that fly together in one task
 ROWS = 3  # balancing constraints, hence at most so many documents stay open in a block
@@ -26,31 +26,47 @@ def flight(pi: np.ndarray, x: np.ndarray, r: np.random.Generator) -> np.ndarray:
     ``x`` has a row per unit and a column per constraint; sums of x * pi / pi0 are kept, so expectations are kept.
     Works on windows of constraints + 1 open units, as in the fast flight.
     """
-    pi = pi.astype(float).copy()
     a = x / np.where(pi > 0, pi, 1.0)[:, None]
     width = x.shape[1] + 1
+    null = _cross if width == 3 else _null
+    units, out = a.tolist(), pi.astype(float).tolist()
     todo = [int(i) for i in r.permutation(len(pi)) if _EPS < pi[i] < 1 - _EPS]
+    chance = r.random(len(todo)).tolist()  # every step settles one unit at least
     window, at = todo[:width], width
     while len(window) == width:
-        u = _null(a[window])
-        p = pi[window]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > 0, (1 - p) / u, np.where(u < 0, -p / u, np.inf)).min()
-            down = np.where(u > 0, p / u, np.where(u < 0, (p - 1) / u, np.inf)).min()
-        p = p + up * u if r.random() < down / (up + down) else p - down * u
-        p[p < _EPS], p[p > 1 - _EPS] = 0.0, 1.0
-        pi[window] = p
-        window = [i for i, q in zip(window, p) if 0 < q < 1]
-        fill = width - len(window)
-        window += todo[at : at + fill]
+        u = null([units[i] for i in window])
+        up = down = float("inf")
+        for i, v in zip(window, u):
+            p = out[i]
+            if v > 0:
+                up, down = min(up, (1 - p) / v), min(down, p / v)
+            elif v < 0:
+                up, down = min(up, -p / v), min(down, (p - 1) / v)
+        step = up if chance.pop() < down / (up + down) else -down
+        rest = []
+        for i, v in zip(window, u):
+            p = out[i] + step * v
+            out[i] = 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
+            if 0 < out[i] < 1:
+                rest.append(i)
+        fill = width - len(rest)
+        window = rest + todo[at : at + fill]
         at += fill
-    return pi
+    return np.array(out)
 
 
-def _null(a: np.ndarray) -> np.ndarray:
-    """A unit vector u with a.T @ u = 0, for one unit more than there are constraints."""
-    u = np.linalg.svd(a.T, full_matrices=True)[2][-1]
-    return u / np.abs(u).max()
+def _cross(a: list[list[float]]) -> list[float]:
+    """As ``_null`` for three units and two constraints: the cross product of the constraints."""
+    (a0, b0), (a1, b1), (a2, b2) = a
+    u = [a1 * b2 - a2 * b1, a2 * b0 - a0 * b2, a0 * b1 - a1 * b0]
+    top = max(map(abs, u))
+    return [v / top for v in u] if top > 1e-12 * max(abs(a0 * b1), abs(a1 * b2), abs(a2 * b0), 1e-300) else _null(a)
+
+
+def _null(a: list[list[float]]) -> list[float]:
+    """A vector u with a.T @ u = 0, for one unit more than there are constraints."""
+    u = np.linalg.svd(np.array(a).T, full_matrices=True)[2][-1]
+    return (u / np.abs(u).max()).tolist()
 
 
 def landing(pi: np.ndarray, r: np.random.Generator) -> np.ndarray:
@@ -124,7 +140,7 @@ def balanced_mix(docs: DataFrame, targets: DataFrame, seed: int = 17) -> DataFra
     settled = []
     while True:
         last = most == 1
-        flown = cut(open_.groupBy("source", "block").applyInPandas(fly(last), schema))
+        flown = cut(open_.repartition(shuffle_width(spark), "source", "block").groupBy("source", "block").applyInPandas(fly(last), schema))
         settled.append(flown.where("p = 0 or p = 1"))
         if last:
             break

@@ -296,7 +296,7 @@ def words_of(text: str, tail: bool = False) -> list[tuple[str, int]]:
         w, a = m[0], m.start()
         while w and w[-1] in "!'’":
             w = w[:-1]
-        while w and w[0] in "!'’":
+        while w and w[0] in "!'’" and not (w[0] == "!" and w[1:2].islower()):  # the mark before a small letter is an I
             w, a = w[1:], a + 1
         if w:
             out.append((w.lower(), a))
