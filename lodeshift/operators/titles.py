@@ -24,7 +24,7 @@ def normalise_titles(titles: DataFrame, column: str = "title") -> DataFrame:
     """
     seniority = {s: i for i, s in enumerate(R.SENIORITY)}
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    family_of, level_of = pairs({t: f for t, f, _ in R.patterns()}), pairs({t: s for t, _, s in R.patterns()})
+    family_of, level_of = pairs({t: f for t, f, _ in R.TITLES}), pairs({t: s for t, _, s in R.TITLES})
     inflated, index = pairs(R.INFLATION), pairs(seniority)
     words = F.array(*[F.struct(F.lit(len(k)).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k"), F.lit(f).alias("f")) for f, k, i in R.keywords()])
     levels = F.array(*[F.lit(s) for s in R.SENIORITY])

@@ -105,7 +105,7 @@ def ont_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 _q = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-_TT = rf"""pat(t,f,s) as (values {_q(R.patterns())}), kw(f,w,o) as (values {_q(R.keywords())}), inf(w,f) as (values {_q(R.INFLATION.items())}), sen(s,i) as (values {_q([(s, i) for i, s in enumerate(R.SENIORITY)])}),
+_TT = rf"""pat(t,f,s) as (values {_q(R.TITLES)}), kw(f,w,o) as (values {_q(R.keywords())}), inf(w,f) as (values {_q(R.INFLATION.items())}), sen(s,i) as (values {_q([(s, i) for i, s in enumerate(R.SENIORITY)])}),
 v as (select distinct title from experience where regexp_matches(title,'\S') union select distinct title from roles), c as (select title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)),'[^a-z0-9+# ]',' ','g'),'\b(i{{1,3}}|iv|v|vi{{1,3}}|ix|x)\b',' ','g'),'\b[0-9]+\b',' ','g'),'\s+',' ','g')) cleaned from v),
 tk as (select title, unnest(string_split(cleaned,' ')) w, unnest(range(len(string_split(cleaned,' ')))) p from c), iv as (select title, arg_min(f,p) f from tk join inf using(w) group by 1), sv as (select title, max(i) i from tk join sen on sen.s=tk.w group by 1), kv as (select title, arg_min(f,(-length(w),o)) f from c join kw on contains(cleaned,w) group by 1),
 n as (select c.title, cleaned, coalesce(pat.f, iv.f, kv.f) as family, coalesce(pat.s, (select s from sen where sen.i=greatest(case when iv.f is not null then 4 end, sv.i)), 'mid') sl from c left join pat on pat.t=cleaned left join iv on iv.title=c.title left join sv on sv.title=c.title left join kv on kv.title=c.title)"""
@@ -117,9 +117,9 @@ def ont_title_family(spark: SparkSession, d: str) -> DataFrame:
     return T.normalise_titles(typed)
 
 
-@query(f"with f(f) as (values {_q([(f,) for f in R.FAMILIES])}), adj(a,b) as (values {_q(R.adjacency())}) select x.f as family, y.f as other, case when x.f=y.f then 1e0 when exists (select 1 from adj where a=x.f and b=y.f) then 0.55e0 else 0.15e0 end similarity from f x cross join f y")
+@query(f"with f(f) as (values {_q([(f,) for f in R.KEYWORDS])}), adj(a,b) as (values {_q(R.adjacency())}) select x.f as family, y.f as other, case when x.f=y.f then 1e0 when exists (select 1 from adj where a=x.f and b=y.f) then 0.55e0 else 0.15e0 end similarity from f x cross join f y")
 def ont_title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    f = spark.createDataFrame([(x,) for x in R.FAMILIES], "family string")
+    f = spark.createDataFrame([(x,) for x in R.KEYWORDS], "family string")
     return T.title_similarity(f.crossJoin(f.withColumnRenamed("family", "other"))).select("family", "other", "similarity")
 
 
