@@ -52,6 +52,21 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("candidate_id", "raw", "parent", "last_used", "kind", "mentions")
 
 
+def matched(spark: SparkSession, d: str, rows: list[tuple[str, float]]) -> DataFrame:
+    """(candidate_id, skill, route, last_used, kind): the evidence that meets a wanted skill, exactly or as its child.
+
+    The few wanted names pick the parts first, with their routes; lines meet those parts once, and orders come last.
+    """
+    names = [s for s, _ in rows]
+    raw, parent = F.col("p_name"), F.element_at(F.split("p_name", " "), -1)
+    ways = F.array(F.struct(raw.alias("skill"), F.lit("exact").alias("route")), F.struct(F.when(parent != raw, parent).alias("skill"), F.lit("child").alias("route")))
+    parts = table(spark, d, "part").where(raw.isin(*names) | parent.isin(*names)).select("p_partkey", F.explode(F.filter(ways, lambda x: x["skill"].isin(*names))).alias("x")).select("p_partkey", "x.skill", "x.route")
+    kind = F.when(F.col("l_returnflag").isin("A", "R"), "narrated").otherwise("listed")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.to_date("l_shipdate").alias("last_used"), kind.alias("kind"))
+    orders = table(spark, d, "orders").select("o_orderkey", candidate_id("o_custkey").alias("candidate_id"))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("candidate_id", "skill", "route", "last_used", "kind")
+
+
 def wanted(spark: SparkSession, rows: list[tuple[str, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "skill string, weight double")
 

@@ -28,7 +28,7 @@ def evd_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {P.EVID}, {P.WANT}, {P.BEST} select candidate_id, skill, round(m,6) m, round(best_recency,6) best_recency from best""")
 def evd_best_match(spark: SparkSession, d: str) -> DataFrame:
-    best = S.best_match(S.match_evidence(P.evidence(spark, d), P.wanted(spark, P.REQUIRED)), P.now())
+    best = S.best_match(P.matched(spark, d, P.REQUIRED), P.now())
     return best.select("candidate_id", "skill", F.round("m", 6).alias("m"), F.round("best_recency", 6).alias("best_recency"))
 
 
@@ -69,20 +69,20 @@ select c.candidate_id, round(case when total is null or total=0 then {empty} els
 @query(_coverage_sql(P.WANT, "100e0"))
 def s1_required(spark: SparkSession, d: str) -> DataFrame:
     w = P.wanted(spark, P.REQUIRED)
-    return S.coverage(P.candidates(spark, d), S.best_match(S.match_evidence(P.evidence(spark, d), w), P.now()), w, 100.0)
+    return S.coverage(P.candidates(spark, d), S.best_match(P.matched(spark, d, P.REQUIRED), P.now()), w, 100.0)
 
 
 @query(_coverage_sql(P.PREF, "null"))
 def s2_preferred(spark: SparkSession, d: str) -> DataFrame:
     w = P.wanted(spark, P.PREFERRED)
-    return S.coverage(P.candidates(spark, d), S.best_match(S.match_evidence(P.evidence(spark, d), w), P.now()), w, None)
+    return S.coverage(P.candidates(spark, d), S.best_match(P.matched(spark, d, P.PREFERRED), P.now()), w, None)
 
 
 @query(f"""with {P.CAND}, {P.EVID}, {P.WANT}, {P.BEST}, top as (select skill from want order by weight desc, skill limit 3), met as (select candidate_id, sum(best_recency) met from best join top using(skill) group by 1)
 select c.candidate_id, round(100e0*coalesce(met,0)/3,6) as value from cand c left join met using(candidate_id)""")
 def s8_skill_recency(spark: SparkSession, d: str) -> DataFrame:
     w = P.wanted(spark, P.REQUIRED)
-    return S.top_recency(P.candidates(spark, d), S.best_match(S.match_evidence(P.evidence(spark, d), w), P.now()), w)
+    return S.top_recency(P.candidates(spark, d), S.best_match(P.matched(spark, d, P.REQUIRED), P.now()), w)
 
 
 # The five titles of the projection as the taxonomy reads them, for the SQL twins.
@@ -98,13 +98,18 @@ def rated_titles(spark: SparkSession, d: str) -> DataFrame:
     return T.title_similarity(seen).select("title", "cleaned", "family", "seniority", "similarity", gap.alias("gap"))
 
 
-@query(f"""with {P.CAND}, {P.ROLES}, {_TITLE_SQL}, rel as (select candidate_id, s, e, greatest(0e0,least(1e0,0.35e0*sim+0.2e0*(case when family='data_engineering' then 1e0 else 0.2e0 end))) relevance, case when employment_type='internship' then 0.5e0 else 1e0 end f from roles join tt using(title) where s<=e),
+@query(f"""with {P.CAND}, {P.ROLES}, {P.WANT}, {_TITLE_SQL}, ov as (select l_orderkey role_id, count(distinct p_name)/{len(P.REQUIRED)}e0 o from lineitem join part on l_partkey=p_partkey where p_name in (select skill from want) group by 1), rel as (select candidate_id, s, e, greatest(0e0,least(1e0,0.35e0*sim+0.45e0*coalesce(o,0)+0.2e0*(case when family='data_engineering' then 1e0 else 0.2e0 end))) relevance, case when employment_type='internship' then 0.5e0 else 1e0 end f from roles join tt using(title) left join ov using(role_id) where s<=e),
 mon as (select candidate_id, unnest(generate_series(year(s)*12+month(s)-1, year(e)*12+month(e)-1)) m, relevance, f from rel), bm as (select candidate_id, m, max(relevance) r, max(f) f from mon group by 1,2), y as (select candidate_id, sum(r*f)/12e0 n from bm group by 1)
 select c.candidate_id, round(coalesce(n,0)+1e-9,4) as years, round(1e-9+case when coalesce(n,0)<1 then 40e0*coalesce(n,0) when n<2 then 40e0+30e0*(n-1) when n<=5 then 70e0+30e0*(n-2)/3e0 else 100e0 end,4) as value from cand c left join y using(candidate_id)""")
 def s4_experience(spark: SparkSession, d: str) -> DataFrame:
     rated = P.roles(spark, d).join(F.broadcast(rated_titles(spark, d)), "title")
+    # The share of the required skills that a role shows: parts of those names on the lines of its order.
+    names = [skill for skill, _ in P.REQUIRED]
+    shown = P.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(P.table(spark, d, "part").where(F.col("p_name").isin(*names)).select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    overlap = shown.groupBy(F.col("l_orderkey").alias("role_id")).agg((F.count_distinct("p_name") / len(names)).alias("overlap"))
+    rated = rated.join(overlap, "role_id", "left")
     domain = F.when(F.col("family") == "data_engineering", 1.0).otherwise(0.2)
-    relevance = X.clip(0.35 * F.col("similarity") + 0.20 * domain, 0.0, 1.0)
+    relevance = X.clip(0.35 * F.col("similarity") + 0.45 * F.coalesce("overlap", F.lit(0.0)) + 0.20 * domain, 0.0, 1.0)
     factor = F.when(F.col("employment_type") == "internship", 0.5).otherwise(1.0)
     years = S.relevant_years(rated.select("candidate_id", "s", "e", relevance.alias("relevance"), factor.alias("factor")))
     n = F.coalesce("years", F.lit(0.0))
@@ -323,7 +328,7 @@ def agg_explain(spark: SparkSession, d: str) -> DataFrame:
     Only matches are shuffled; what is missing is the wanted list less them.
     """
     w = P.wanted(spark, P.REQUIRED)
-    best = S.best_match(S.match_evidence(P.evidence(spark, d), w), P.now()).groupBy("candidate_id").agg(F.collect_list(F.struct((-F.col("m")).alias("o"), "skill", "m")).alias("hits"))
+    best = S.best_match(P.matched(spark, d, P.REQUIRED), P.now()).groupBy("candidate_id").agg(F.collect_list(F.struct((-F.col("m")).alias("o"), "skill", "m")).alias("hits"))
     everything = F.array(*[F.struct(F.lit(-x).alias("o"), F.lit(s).alias("skill"), F.lit(int(x)).alias("w")) for s, x in P.REQUIRED])
     hits = F.coalesce("hits", F.array().cast("array<struct<o:double,skill:string,m:double>>"))
     matched = F.array_join(F.transform(F.array_sort(hits), lambda h: F.concat(h["skill"], F.lit("="), F.round(h["m"], 2).cast("decimal(10,2)").cast("string"))), ";")
@@ -338,7 +343,7 @@ select candidate_id, composite, n skills, {P.BAND} band, row_number() over (orde
 def flagship_shortlist(spark: SparkSession, d: str) -> DataFrame:
     """Evidence to shortlist in one plan: joins, best match per skill, weighted coverage, band, rank, selection."""
     w = P.wanted(spark, P.REQUIRED)
-    best = S.best_match(S.match_evidence(P.evidence(spark, d), w), P.now())
+    best = S.best_match(P.matched(spark, d, P.REQUIRED), P.now())
     met = best.join(F.broadcast(w), "skill").groupBy("candidate_id").agg(F.sum(F.col("weight") * F.col("m")).alias("met"), F.count("*").alias("skills"))
     score = F.round(100.0 * F.coalesce("met", F.lit(0.0)) / sum(x for _, x in P.REQUIRED), 2)
     cards_ = P.candidates(spark, d).select("candidate_id").join(met, "candidate_id", "left").select(F.lit("j1").alias("job_id"), "candidate_id", score.alias("composite"), F.coalesce("skills", F.lit(0)).alias("skills"))
