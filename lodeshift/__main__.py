@@ -20,14 +20,15 @@ def main(argv: list[str]) -> int:
     from pyspark.sql import functions as F
 
     from lodeshift.plans.pipeline import run_folder
-    from lodeshift.sources.files import write_audit, write_scores
+    from lodeshift.sources.files import job_hash, write_audit, write_scores
 
     spark = SparkSession.builder.appName("lodeshift").getOrCreate()
     result = run_folder(spark, a.folder, a.job, a.threshold, a.top)
     if a.out:
         flat = result.withColumn("missing", F.array_join("missing", ";")).withColumn("flags", F.array_join("flags", ";"))
         write_scores(flat, f"{a.out}/scores")
-        write_audit(result, f"{a.out}/audit", "")
+        text = spark.read.text(a.job, wholetext=True).first()["value"]
+        write_audit(result, f"{a.out}/audit", job_hash(text))
     else:
         result.orderBy("job_id", "rank").show(50, truncate=60)
     return 0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeshift.plans.registry import QUERIES, SQL
 
-for _name in ("scoring", "statistics", "sources", "text", "structuring", "requirements", "names", "career", "vectors", "problems"):
+for _name in ("scoring", "statistics", "sources", "text", "structuring", "requirements", "names", "career", "reports", "vectors", "problems"):
     import_module(f"lodeshift.plans.{_name}")
 
 

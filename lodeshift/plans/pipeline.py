@@ -11,6 +11,7 @@ from lodeshift.operators import titles as T
 from lodeshift.plans.requirements import LIST_MARK, sectioned, skill_names, weigh, years_asked
 from lodeshift.plans.statistics import parse_date, split_range
 from lodeshift.plans.text import _INJ, is_heading, section_kind
+from lodeshift.session import cut, is_bounded
 
 RUN_DATE = "2026-08-29"
 
@@ -29,38 +30,51 @@ def compile_jobs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return skills, needs
 
 
-def structure(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profiles, roles) of (candidate_id, text): narrative and listed text, which sections there are; dated roles."""
-    lines = documents.select("candidate_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n", -1)).alias("line", "t")).withColumn("t", F.trim("t")).where("t <> ''")
-    headed = lines.withColumn("k", F.when(is_heading(F.col("t")) & ~F.contains("t", F.lit("|")), section_kind(F.col("t"))))
-    filled = headed.withColumn("section", F.last("k", ignorenulls=True).over(Window.partitionBy("candidate_id").orderBy("line"))).where("k is null")
-    low = F.lower("t")
-    listed = (F.col("section") == "skills") | (F.size(F.split("t", "[,;|•]")) >= 4)
-    profiles = filled.groupBy("candidate_id").agg(
-        F.array_join(F.collect_list(F.when(~F.coalesce(listed, F.lit(False)), low)), " \n ").alias("narrative"), F.array_join(F.collect_list(F.when(listed, low)), " \n ").alias("listed"),
-        F.collect_set("section").alias("sections"), F.sum(F.regexp_count("t", F.lit(_INJ))).alias("injected"),
-    )
+LONGEST_NAME = 5  # words in the name of a skill, as the compiler makes them
+
+
+def structure(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, roles, lines) of (candidate_id, text): which sections there are and instructions found; dated roles; the
+    lines outside headings with the role they stand under (its line, 0 for none) and whether they list."""
+    lines = documents.select("candidate_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n", -1)).alias("i", "t")).select("candidate_id", (F.col("i") + 1).alias("line"), F.trim("t").alias("t")).where("t <> ''")
+    dated = F.contains("t", F.lit("|")) & F.col("t").rlike("(?:19|20)[0-9]{2}")
+    headed = lines.withColumn("header", dated).withColumn("k", F.when(is_heading(F.col("t")) & ~F.contains("t", F.lit("|")), section_kind(F.col("t"))))
+    order = Window.partitionBy("candidate_id").orderBy("line")
+    placed = headed.withColumn("section", F.last("k", ignorenulls=True).over(order)).withColumn("last", F.last(F.when(F.col("header") | F.col("k").isNotNull(), F.struct("line", "header")), ignorenulls=True).over(order)).where("k is null")
+    listed = F.coalesce((F.col("section") == "skills") | (F.size(F.split("t", "[,;|•]")) >= 4), F.lit(False))
+    body = placed.select("candidate_id", "section", "t", "line", "header", F.when(F.col("last.header"), F.col("last.line")).otherwise(0).alias("role"), listed.alias("listed"))
+    profiles = body.groupBy("candidate_id").agg(F.collect_set("section").alias("sections"), F.sum(F.regexp_count("t", F.lit(_INJ))).alias("injected"))
     parts = F.split("t", r"\s*\|\s*")
-    header = lines.where(F.contains("t", F.lit("|")) & F.col("t").rlike("(?:19|20)[0-9]{2}")).select("candidate_id", "line", F.get(parts, F.lit(1)).alias("title"), F.element_at(parts, -1).alias("dates"))
-    span = header.select("candidate_id", "line", "title", split_range(F.col("dates")).alias("r"))
+    header = body.where("header").select("candidate_id", F.col("line").alias("role"), F.get(parts, F.lit(1)).alias("title"), split_range(F.element_at(parts, -1)).alias("r"))
     a, b = parse_date(F.col("r.start"), RUN_DATE)["value"], parse_date(F.col("r.end"), RUN_DATE)["value"]
-    roles = span.select("candidate_id", "line", "title", F.to_date(a).alias("s"), F.to_date(F.coalesce(b, F.lit(RUN_DATE))).alias("e"))
-    return profiles, roles
+    roles = header.select("candidate_id", "role", "title", F.to_date(a).alias("s"), F.to_date(F.coalesce(b, F.lit(RUN_DATE))).alias("e"))
+    return profiles, roles, body.select("candidate_id", "role", "listed", "t")
 
 
-def _covered(profiles: DataFrame, skills: DataFrame, kind: str, empty: float | None) -> DataFrame:
-    """(job_id, candidate_id, value, missing): coverage of one kind of skills by the texts.
+def named_skills(lines: DataFrame, skills: DataFrame) -> DataFrame:
+    """(candidate_id, role, listed, skill): which of the wanted names stand in which lines, as whole words.
 
-    A job's skills are one array, at most a few dozen; jobs and profiles have to meet in full, as every pair is scored.
+    The runs of up to ``LONGEST_NAME`` words of a line meet the distinct names by an equal join: texts never meet jobs.
     """
-    per_job = skills.groupBy("job_id").agg(F.collect_list(F.when(F.col("kind") == kind, F.struct("skill", "weight"))).alias("wanted"))
-    pairs = profiles.crossJoin(per_job)
-    inside = lambda text, s: F.contains(F.concat(F.lit(" "), F.regexp_replace(text, r"[^a-z0-9+#/.-]+", " "), F.lit(" ")), F.concat(F.lit(" "), s, F.lit(" ")))
-    m = lambda w: F.when(inside(F.col("narrative"), w["skill"]), X.PROFICIENCY["narrated"]).when(inside(F.col("listed"), w["skill"]), X.PROFICIENCY["listed"]).otherwise(0.0)
-    total = F.aggregate("wanted", F.lit(0.0), lambda acc, w: acc + w["weight"])
-    met = F.aggregate("wanted", F.lit(0.0), lambda acc, w: acc + w["weight"] * m(w))
-    missing = F.transform(F.filter("wanted", lambda w: m(w) == 0.0), lambda w: w["skill"])
-    return pairs.select("job_id", "candidate_id", F.when(F.size("wanted") > 0, F.round(100.0 * met / total, 6)).otherwise(F.lit(empty)).alias("value"), F.array_sort(missing).alias("missing"))
+    words = F.split(F.trim(F.regexp_replace(F.lower("t"), "[^a-z0-9+#/.-]+|[.]+(?= |$)", " ")), " +")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST_NAME)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    said = lines.withColumn("w", words).select("candidate_id", "role", "listed", F.explode(F.array_distinct(runs)).alias("skill"))
+    names = skills.select("skill").distinct()
+    return said.join(F.broadcast(names) if is_bounded(names, 100_000) else names, "skill").select("candidate_id", "role", "listed", "skill").distinct()
+
+
+def _covered(pairs: DataFrame, hits: DataFrame, skills: DataFrame, kind: str, empty: float | None) -> DataFrame:
+    """(job_id, candidate_id, value, missing): coverage of one kind of skills. Only hits are joined with the jobs' skills; what
+    a candidate misses is the job's list, a few dozen names, less them."""
+    wanted = skills.where(F.col("kind") == kind)
+    lists = wanted.groupBy("job_id").agg(F.collect_set("skill").alias("names"), F.sum("weight").alias("total"))
+    m = F.when(F.col("listed"), X.PROFICIENCY["listed"]).otherwise(X.PROFICIENCY["narrated"])
+    best = hits.groupBy("candidate_id", "skill").agg(F.max(m).alias("m"))
+    met = best.join(wanted.select("job_id", "skill", "weight"), "skill").groupBy("job_id", "candidate_id").agg(F.sum(F.col("weight") * F.col("m")).alias("met"), F.collect_set("skill").alias("found"))
+    none = F.array().cast("array<string>")
+    value = F.when(F.coalesce("total", F.lit(0.0)) > 0, F.round(100.0 * F.coalesce("met", F.lit(0.0)) / F.col("total"), 6)).otherwise(F.lit(empty).cast("double"))
+    missing = F.array_sort(F.array_except(F.coalesce("names", none), F.coalesce("found", none)))
+    return pairs.join(lists, "job_id", "left").join(met, ["job_id", "candidate_id"], "left").select("job_id", "candidate_id", value.alias("value"), missing.alias("missing"))
 
 
 def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, top: int | None = None) -> DataFrame:
@@ -68,27 +82,36 @@ def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, to
 
     ``documents`` is (candidate_id, text), ``jobs`` (job_id, text). NULL and blank documents score 0 where text counts;
     repeated ids count once, by their longest text. Dimensions that the texts can't show are left out and their weight
-    goes to the others.
+    goes to the others. Every pair of a job and a candidate is a row of the result, so their ids meet in full; texts
+    and roles meet jobs by the names of skills and families alone.
     """
     docs = documents.where("candidate_id is not null").groupBy("candidate_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     skills, needs = compile_jobs(jobs)
-    profiles, roles = structure(docs.where(r"text rlike '\\S'"))
-    everyone = docs.select("candidate_id")
+    profiles, roles, lines = structure(docs.where(r"text rlike '\\S'"))
     none = F.array().cast("array<string>")
-    full = everyone.join(profiles, "candidate_id", "left").select("candidate_id", F.coalesce("narrative", F.lit("")).alias("narrative"), F.coalesce("listed", F.lit("")).alias("listed"), F.coalesce("sections", none).alias("sections"), F.coalesce("injected", F.lit(0)).alias("injected"))
-    s1, s2 = _covered(full, skills, "required", 100.0), _covered(full, skills, "preferred", None)
+    full = docs.select("candidate_id").join(profiles, "candidate_id", "left").select("candidate_id", F.coalesce("sections", none).alias("sections"), F.coalesce("injected", F.lit(0)).alias("injected"))
+    ids = needs.select("job_id")
+    pairs = docs.select("candidate_id").crossJoin(F.broadcast(ids) if is_bounded(ids, 100_000) else ids)
+    hits = cut(named_skills(lines, skills))
+    s1, s2 = _covered(pairs, hits, skills, "required", 100.0), _covered(pairs, hits, skills, "preferred", None)
+    # Roles: similarity of titles by families, overlap by the required skills named under a role.
     rated = T.normalise_titles(roles.select("title").distinct())
     targets = T.normalise_titles(needs.select("title")).select("title", F.col("family").alias("other"), F.col("seniority").alias("wanted"))
-    wanted = needs.join(targets, "title", "left")
+    wanted = needs.join(targets, "title", "left").select("job_id", "other", "wanted")
     held = roles.where("s is not null and s <= e").join(rated, "title", "left")
-    met = T.title_similarity(held.crossJoin(F.broadcast(wanted.select("job_id", "other", "wanted"))))
-    years = S.relevant_years(met.select(F.concat_ws("\u0001", "job_id", "candidate_id").alias("candidate_id"), "s", "e", X.clip(0.35 * F.col("similarity") + 0.45 + 0.20, 0.0, 1.0).alias("relevance"), F.lit(1.0).alias("factor")))
-    years = years.select(F.split("candidate_id", "\u0001")[0].alias("job_id"), F.split("candidate_id", "\u0001")[1].alias("candidate_id"), "years")
+    required = skills.where("kind = 'required'")
+    asked = required.groupBy("job_id").agg(F.count("*").alias("asked"))
+    shown = hits.where("role > 0").select("candidate_id", "role", "skill").distinct().join(required.select("job_id", "skill"), "skill").groupBy("job_id", "candidate_id", "role").agg(F.count("*").alias("shown"))
+    met = T.title_similarity(held.crossJoin(F.broadcast(wanted) if is_bounded(wanted, 100_000) else wanted))
+    met = met.join(asked, "job_id", "left").join(shown, ["job_id", "candidate_id", "role"], "left")
+    overlap = F.when(F.col("asked").isNull(), 1.0).otherwise(F.coalesce("shown", F.lit(0)) / F.col("asked"))
+    relevance = X.clip(0.35 * F.col("similarity") + 0.45 * overlap + 0.20, 0.0, 1.0)  # no domain is asked for: its term is full
+    years = S.relevant_years(met.select(F.struct("job_id", "candidate_id").alias("candidate_id"), "s", "e", relevance.alias("relevance"), F.lit(1.0).alias("factor")))
+    years = years.select("candidate_id.job_id", "candidate_id.candidate_id", "years")
     gap = F.coalesce(T.seniority_index(F.col("seniority")) - T.seniority_index(F.col("wanted")), F.lit(0))
     age = X.years_by_days(F.col("e"), F.to_date(F.lit(RUN_DATE)))
     fit = met.groupBy("job_id", "candidate_id").agg(F.max(F.col("similarity") * X.seniority_factor(gap) * F.when(age <= 0, 1.0).otherwise(X.recency(age, 6.0, 0.55))).alias("fit"))
-    pairs = full.crossJoin(F.broadcast(needs.select("job_id", "min_years", "target_years")))
-    base = pairs.join(years, ["job_id", "candidate_id"], "left").join(fit, ["job_id", "candidate_id"], "left")
+    base = pairs.join(full, "candidate_id").join(needs.select("job_id", "min_years", "target_years"), "job_id").join(years, ["job_id", "candidate_id"], "left").join(fit, ["job_id", "candidate_id"], "left")
     s4 = X.years_score(F.coalesce("years", F.lit(0.0)), F.col("min_years"), F.col("target_years"))
     lost = F.size(F.array_except(F.array(F.lit("experience"), F.lit("skills"), F.lit("education")), "sections"))
     wide = base.select("job_id", "candidate_id", "injected", s4.alias("s4"), (100.0 * F.coalesce("fit", F.lit(0.0))).alias("s5"), (100.0 - 15.0 * F.least(lost, F.lit(2))).alias("s10"))

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; a local one only where the session names none (tests)."""
+    """Use the folder of ``spark.checkpoint.dir``. Only a session on one machine may do without; on a cluster a folder that
+    its executors don't share would fail or lose data, so there its absence is an error."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "lodeshift-checkpoints"))
 
 

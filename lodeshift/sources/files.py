@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import re
@@ -107,12 +108,35 @@ def manifest(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE,
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     found = files.withColumn("path", relative).where(matches(F.col("path"), include) & ~matches(F.col("path"), exclude))
     kind = media_type(F.col("path"), F.col("content"))
-    reason = F.when(F.col("length") == 0, "EMPTY").when(F.col("length") > most_bytes, "TOO_LARGE").when(kind.isNull() | (kind == "application/zip"), "UNSUPPORTED")
+    reason = F.when(F.col("length") == 0, "EMPTY").when(F.col("length") > most_bytes, "TOO_LARGE").when(kind.isNull() | (kind == "application/zip"), "UNSUPPORTED").when(kind == MEDIA["docx"], zip_risk("content"))
     sha = F.sha2("content", 256)
     rows = found.select("path", document_id(sha).alias("candidate_id"), sha.alias("content_sha256"), F.col("length").alias("bytes"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime"), kind.alias("media_type"), reason.alias("reason"), "content")
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "bytes", "reason")
 
 
+# What names a job description, not a candidate.
+_JOB_NAME = r"(?i)(^|[^a-z])(jd|job)([^a-z]|$)|job[ _-]?(description|spec)"
+
+
+def load_folder(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("txt", "md", "html", "htm", "docx")) -> DataFrame:
+    """(path, candidate_id, media_type, content) of the candidates' files under a folder, as the command line takes them: by
+    suffix, without hidden paths, files named as job descriptions, and folders that hold an earlier run (an audit or
+    scores folder, or a manifest). An empty folder gives no rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    found = files.withColumn("path", relative).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("folder", F.regexp_replace("path", "/?[^/]*$", ""))
+    earlier = found.where(F.col("name").rlike("^(manifest[.]json|scores[.]csv|audit[.]jsonl)$")).select("folder").distinct()
+    kept = found.where(F.lower("name").rlike("[.](" + "|".join(suffixes) + ")$") & ~F.col("path").rlike("(^|/)[.]") & ~F.col("name").rlike(_JOB_NAME)).join(earlier, "folder", "left_anti")
+    sha = F.sha2("content", 256)
+    return kept.select("path", document_id(sha).alias("candidate_id"), media_type(F.col("path"), F.col("content")).alias("media_type"), "content")
+
+
+def contained(root: str, path: str) -> bool:
+    """Whether a path, its links followed, stays within a folder; for paths that a user names, on the driver."""
+    base, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    return full == base or full.startswith(base + os.sep)
+
+
 class _Text(HTMLParser):
     SKIP, BREAK = {"script", "style", "noscript", "template"}, {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "title"}
 
@@ -186,10 +210,11 @@ def extract(documents: DataFrame) -> DataFrame:
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Demographics (candidate_id, group) from CSV; blank rows dropped, the last of repeated ids wins."""
-    raw = spark.read.option("header", True).schema("candidate_id string, group string").csv(path)
-    kept = raw.where("candidate_id is not null and trim(candidate_id) <> ''").withColumn("_o", F.monotonically_increasing_id())
-    return kept.groupBy("candidate_id").agg(F.max_by("group", "_o").alias("group"))
+    """Demographics (candidate_id, group) from CSV files; blank rows dropped, of repeated ids the last line of the last file by
+    name wins. Files are read whole, one row each, so that lines keep their place whatever the splits."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "row")).where("line > 0 and row <> ''")
+    cells = texts.select(F.struct("file", "line").alias("_o"), F.from_csv("row", F.lit("candidate_id string, group string")).alias("x")).select("_o", "x.*")
+    return cells.where("candidate_id is not null and trim(candidate_id) <> ''").groupBy("candidate_id").agg(F.max_by("group", "_o").alias("group"))
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
@@ -203,6 +228,11 @@ def write_scores(frame: DataFrame, folder: str) -> None:
     frame.write.mode("overwrite").option("header", True).csv(folder)
 
 
+def job_hash(text: str) -> str:
+    """The hash of a job description that audit records carry."""
+    return hashlib.sha256(" ".join(text.split()).encode()).hexdigest()
+
+
 def write_audit(cards: DataFrame, folder: str, job_hash: str) -> None:
     """One JSON record per candidate, with the hash of the requirements."""
     cards.withColumn("jobspec_sha256", F.lit(job_hash)).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
