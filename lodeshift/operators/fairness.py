@@ -36,10 +36,14 @@ def ratio_interval(selected: Column, n: Column, ref_selected: Column, ref_n: Col
 def fisher_exact(tables: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, p_value) of 2x2 tables with cells a, b, c, d, two-sided; 1 without variation, NULL without a row margin.
 
-    All tables with the margins are a sequence exploded from the row; probabilities are exponentials of log factorials.
+    The tables with the margins are a sequence exploded from the row, as far as forty standard deviations from the middle:
+    beyond, a probability is below 1e-300 and adds nothing to a double. So the sequence grows with the root of the size.
     """
     whole = tables.select(*keys, "a", "b", "c", "d", (F.col("a") + F.col("b")).alias("r1"), (F.col("c") + F.col("d")).alias("r2"), (F.col("a") + F.col("c")).alias("c1"))
-    x = F.explode(F.sequence(F.greatest(F.lit(0), F.col("c1") - F.col("r2")), F.least("r1", "c1"))).alias("x")
+    n, r1, r2, c1 = (F.col("r1") + F.col("r2")).cast("double"), F.col("r1").cast("double"), F.col("r2").cast("double"), F.col("c1").cast("double")
+    middle, reach = r1 * c1 / n, 40.0 * F.sqrt(r1 * r2 * c1 * (n - c1) / (n * n * F.greatest(n - 1.0, F.lit(1.0)))) + 40.0
+    low = F.greatest(F.lit(0).cast("long"), F.col("c1") - F.col("r2"), F.floor(middle - reach))
+    x = F.explode(F.sequence(low, F.least(F.col("r1"), F.col("c1"), F.ceil(middle + reach)))).alias("x")
     spread = whole.where("r1 > 0 and r2 > 0 and c1 > 0 and c1 < r1 + r2").select(*keys, "a", "r1", "r2", "c1", x)
 
     def log_choose(n: Column, k: Column) -> Column:

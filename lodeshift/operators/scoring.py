@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeshift.functions import factors as X
+from lodeshift.operators.intervals import merge_intervals
 from lodeshift.session import cut, shuffle_width
 
 
@@ -65,12 +66,10 @@ def relevant_years(roles: DataFrame) -> DataFrame:
 
 
 def covered_months(roles: DataFrame) -> DataFrame:
-    """(candidate_id, months) covered by any role, gaps and islands over (s, e)."""
-    span = roles.where("s is not null and e is not null and s <= e").select("candidate_id", X.months_of(F.col("s")).alias("a"), X.months_of(F.col("e")).alias("b")).groupBy("candidate_id", "a").agg(F.max("b").alias("b"))
-    order = Window.partitionBy("candidate_id").orderBy("a")
-    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    added = F.greatest(F.col("b") - F.greatest(F.coalesce(F.col("before"), F.col("a") - 1), F.col("a") - 1), F.lit(0))
-    return span.withColumn("before", before).select("candidate_id", added.alias("added")).groupBy("candidate_id").agg(F.sum("added").alias("months"))
+    """(candidate_id, months) covered by any role: the lengths of its continuous periods, a career spread over partitions."""
+    span = roles.where("s is not null and e is not null and s <= e").select("candidate_id", X.months_of(F.col("s")).alias("a"), X.months_of(F.col("e")).alias("b"))
+    periods = merge_intervals(span, ["candidate_id"], "a", "b").where("kind = 'period'")
+    return periods.groupBy("candidate_id").agg(F.sum(F.col("to") - F.col("from") + 1).alias("months"))
 
 
 def composite(scores: DataFrame, weights: DataFrame) -> DataFrame:

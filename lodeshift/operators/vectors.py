@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeshift.session import shuffle_width
+from lodeshift.session import is_bounded, shuffle_width
 
 BLOCK = 2048  # vectors that meet as one matrix
+FEW = 20_000  # queries that are broadcast; 10 MB at 64 numbers each
 
 
 def dot(a, b) -> Column:
@@ -40,7 +41,8 @@ def top_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str
     kind = dict(vectors.dtypes)[key]
     q = _blocks(queries, key, vector, "q")
     x = _blocks(vectors, key, vector, "x")
-    pairs = x.crossJoin(q).repartition(shuffle_width(vectors.sparkSession))
+    # Few queries go to every block of vectors; many meet them through a shuffle, block by block.
+    pairs = x.crossJoin(F.broadcast(q)) if is_bounded(queries, FEW) else x.crossJoin(q).repartition(shuffle_width(vectors.sparkSession))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

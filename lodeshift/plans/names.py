@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,19 +83,34 @@ def indel_ratio(a: str, b: str) -> float:
 def ont_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """(raw, canonical, ratio) of values that no exact tier knows: the best name of a ratio of 92 or more, first on ties.
 
-    Names whose length rules out the ratio are not compared; the reference list is fixed and goes with the function.
+    Names whose letters rule out the ratio are not compared; the reference list is fixed and goes with the function.
     """
     o = P.table(spark, d, "ontology_skills")
     names = sorted(r["canonical"] for r in o.select("canonical").distinct().collect())
     rest = canonicalise(P.table(spark, d, "skill_matches"), "raw", o).where("canonical is null").select("raw")
 
+    # Letters that only one of two texts has are edits whatever their order: a bound that rules most names out at once.
+    letters = sorted({c for n in names for c in n})
+    place = {c: i for i, c in enumerate(letters)}
+
+    def counted(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(letters) + 1), "int32")
+        for i, t in enumerate(texts):
+            for c in t:
+                out[i, place.get(c, len(letters))] += 1
+        return out
+
+    have, sizes = counted(names), np.array([len(n) for n in names])
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for raw in pdf["raw"]:
-                t, top = raw.lower().strip(), (0.0, None)
-                for n in names:
-                    if 2 * min(len(n), len(t)) >= 0.92 * (len(n) + len(t)) and (r := indel_ratio(t, n)) > top[0]:
+            typed = [raw.lower().strip() for raw in pdf["raw"]]
+            for raw, t, mine in zip(pdf["raw"], typed, counted(typed)):
+                top = (0.0, None)
+                fits = np.abs(have - mine).sum(1) <= 0.08 * (sizes + len(t)) + 1e-9
+                for n in (names[i] for i in np.flatnonzero(fits)):
+                    if (r := indel_ratio(t, n)) > top[0]:
                         top = (r, n)
                 if top[0] >= 92.0:
                     rows.append((raw, top[1], round(top[0], 4)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeshift.functions import dates as D
 from lodeshift.functions import factors as X
 from lodeshift.operators import fairness as A
+from lodeshift.operators.intervals import merge_intervals
 from lodeshift.operators.scoring import covered_months
 from lodeshift.plans import projections as P
 from lodeshift.plans.registry import query
@@ -175,7 +176,9 @@ def dat_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {P.ROLES}, x as (select *, max(e) over (partition by candidate_id order by s, role_id rows between unbounded preceding and 1 preceding) pe from roles) select candidate_id, role_id, date_diff('month', date_trunc('month',pe), date_trunc('month',s)) gap_months from x where date_diff('month', date_trunc('month',pe), date_trunc('month',s))>1""")
 def dat_role_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps of more than a month before a role: reported, never scored."""
-    w = Window.partitionBy("candidate_id").orderBy("s", "role_id").rowsBetween(Window.unboundedPreceding, -1)
-    gap = X.months_of(F.col("s")) - X.months_of(F.max("e").over(w))
-    return P.roles(spark, d).select("candidate_id", "role_id", gap.alias("gap_months")).where("gap_months > 1")
+    """Gaps of more than a month before a role: reported, never scored. The role behind a gap is the first that starts in the
+    month after it; both meet by an equal join, no window over a career."""
+    roles = P.roles(spark, d).select("candidate_id", "role_id", "s", X.months_of(F.col("s")).alias("a"), X.months_of(F.col("e")).alias("b"))
+    gaps = merge_intervals(roles, ["candidate_id"], "a", "b").where("kind = 'gap'").select("candidate_id", (F.col("to") + 1).alias("a"), (F.col("to") - F.col("from") + 2).cast("int").alias("gap_months"))
+    behind = roles.where("a <= b").join(gaps, ["candidate_id", "a"])
+    return behind.groupBy("candidate_id", "a", "gap_months").agg(F.min_by("role_id", F.struct("s", "role_id")).alias("role_id")).select("candidate_id", "role_id", "gap_months")

@@ -56,16 +56,11 @@ def ext_unicode_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def glyph_table(spark: SparkSession, d: str) -> DataFrame:
-    x0 = F.when(F.floor(F.col("l_orderkey") / 20) % 2 == 0, (F.col("l_partkey") % 2) * 320).otherwise(0) + (F.col("l_partkey") * 7) % 220
-    q = F.col("l_quantity").cast("int")
-    return P.table(spark, d, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 20).alias("doc"), (F.lit(1) + F.col("l_linenumber") % 3).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("glyph_id"), x0.cast("double").alias("x0"), (x0 + 4 + q % 7).cast("double").alias("x1"),
-        (((F.col("l_suppkey") * 13) % 60) * 12).cast("double").alias("top"), (3 + q % 10).cast("double").alias("font"),
-    )
+    g = P.table(spark, d, "glyphs").where("candidate_id is not null and page is not null and x0 is not null and x1 is not null and top is not null")
+    return g.select(F.col("candidate_id").alias("doc"), "page", "glyph_id", "x0", "x1", "top", F.coalesce("font_size", F.lit(10.0)).alias("font"))
 
 
-_GLYPHS = """g as (select l_orderkey//20 doc, 1+l_linenumber%3 page, l_orderkey*10+l_linenumber glyph_id, (case when (l_orderkey//20)%2=0 then (l_partkey%2)*320 else 0 end + (l_partkey*7)%220)::double x0,
-(case when (l_orderkey//20)%2=0 then (l_partkey%2)*320 else 0 end + (l_partkey*7)%220 + 4 + cast(l_quantity as int)%7)::double x1, (((l_suppkey*13)%60)*12)::double top, (3+cast(l_quantity as int)%10)::double font from lineitem)"""
+_GLYPHS = "g as (select candidate_id doc, page, glyph_id, x0, x1, top, coalesce(font_size, 10e0) font from glyphs where candidate_id is not null and page is not null and x0 is not null and x1 is not null and top is not null)"
 
 
 @query(f"""with {_GLYPHS}, b as (select doc, page, x0-lag(x1) over w > 24 a, x0-max(x1) over (partition by doc,page order by x0,x1,glyph_id rows between unbounded preceding and 1 preceding) > 24 b from g window w as (partition by doc,page order by x0,x1,glyph_id))
