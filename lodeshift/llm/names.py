@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodeshift.llm.canonical import edits, shortened
 from lodeshift.operators.graph import connected_components
-from lodeshift.session import cut, stored
+from lodeshift.session import cut, shuffle_width, stored
 
 # Entries that name no organisation.
 NOBODY = frozenset(
@@ -278,11 +278,12 @@ def resolve_names(names: DataFrame, aliases: list[tuple[str, str]], suffixes: li
     spelt = cut(parsed.withColumn("real", F.lit(True)).unionByName(seeds.withColumn("real", F.lit(False))).withColumn("unit", unit))
     units = spelt.groupBy("field", "unit").agg(F.sort_array(F.collect_set("core")).alias("cores"), F.max("trade").alias("trade"), F.max("capitals").alias("capitals"), F.max("known").alias("known"), F.collect_set("known").alias("said"))
     units = cut(units)
-    base = stored(_keys(units))
+    keys = stored(_keys(units).repartition(shuffle_width(names.sparkSession), "unit"))
+    base, short = keys.where("sort = 'strong'"), cut(keys.where("sort <> 'strong'"))
     owners = units.select("unit", F.col("unit").alias("id"))
     # First round: known names and strong keys at once.
     said = units.select("field", F.explode("said").alias("key"), F.col("unit").alias("id"))
-    strong = base.where("sort = 'strong'").select("field", "mark", "key", F.col("unit").alias("id"))
+    strong = base.select("field", "mark", "key", F.col("unit").alias("id"))
     links = cut(_stars(said, ["field", "key"]).unionByName(_stars(strong, ["field", "mark", "key"])).distinct())
     extra = None
     while True:
@@ -295,17 +296,23 @@ def resolve_names(names: DataFrame, aliases: list[tuple[str, str]], suffixes: li
             extra = fresh if extra is None else extra.unionByName(fresh)
             named = fresh.where("sort = 'strong'").select("field", "mark", "key", F.col("unit").alias("id"))
             asked = named.select("field", "mark", "key").distinct()
-            held = base.where("sort = 'strong'").join(asked, ["field", "mark", "key"], "left_semi").join(owners, "unit").select("field", "mark", "key", "id")
+            held = base.join(asked, ["field", "mark", "key"], "left_semi").join(owners, "unit").select("field", "mark", "key", "id")
             links = cut(_stars(held.unionByName(named).distinct(), ["field", "mark", "key"]))
-        table = base if extra is None else base.unionByName(extra)
-        sided = table.join(owners, "unit").select("field", "sort", "key", "id").distinct()
         traits = units.join(owners, "unit").groupBy("id").agg(F.max(F.col("trade").isNotNull() | F.col("known").isNotNull()).alias("sure"))
-        sided = cut(sided.join(traits, "id"))
+        sided = cut(owners.join(traits, "id"))
         # Spellings by initials and acronyms, and those without a trade, where a single organisation answers.
-        short = _answers(sided.where("sort = 'open' and not sure").select("field", "key", "id"), sided.where("sort = 'closed'"), ["field", "key"])
-        short = short.unionByName(_answers(sided.where("sort = 'open' and sure and key like '~%'").select("field", "key", "id"), sided.where("sort = 'closed'"), ["field", "key"]))
-        bare = sided.where("sort = 'strong'")
-        links = cut(short.unionByName(_answers(bare.where("not sure").select("field", "key", "id"), bare.where("sure"), ["field", "key"])).distinct())
+        sort = lambda df, name: df.where(f"sort = '{name}'").join(sided, "unit").select("field", "key", "id", "sure")
+        more = None if extra is None else extra.join(sided, "unit").select("field", "sort", "key", "id", "sure").distinct()
+        closed = sort(short, "closed")
+        if more is not None:
+            closed = closed.unionByName(more.where("sort = 'closed'").drop("sort"))
+        asking = sort(short, "open").where("not sure or key like '~%'").distinct()
+        # Of all strong keys only those of the spellings without a trade are asked for.
+        loose = base.join(sided.where("not sure"), "unit").select("field", "key", "id").distinct()
+        owned = base.join(loose.select("field", "key").distinct(), ["field", "key"], "left_semi").join(sided.where("sure"), "unit").select("field", "key", "id")
+        if more is not None:
+            owned = owned.unionByName(more.where("sort = 'strong' and sure").select("field", "key", "id"))
+        links = cut(_answers(asking, closed, ["field", "key"]).unionByName(_answers(loose, owned, ["field", "key"])).distinct())
         if not links.count():
             break
     real = spelt.where("real").select("field", "name", "unit").distinct()
