@@ -52,6 +52,11 @@ def flat(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+def _slipped(typed: str, word: str) -> bool:
+    """Whether a word of a trade was typed, perhaps with a slip, or two in a long one."""
+    return typed == word or len(word) > 3 and edits(typed, word, 1) <= 1 or len(word) > 8 and edits(typed, word, 2) <= 2
+
+
 class Parser:
     """Takes a spelling apart into proper name and trade; plain Python, made once per worker."""
 
@@ -59,23 +64,34 @@ class Parser:
         self.trades = TRADES[field]
         self.phrases = {tuple(p.split()): t for t, ps in self.trades.items() for p in [t, *ps]}
         self.longest = max(map(len, self.phrases))
+        self.parts = sorted({w for p in self.phrases for w in p})
+        self.memory: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
         self.single = [(p[0], t) for p, t in self.phrases.items() if len(p) == 1 and len(p[0]) > 5]
         spelt = [regex.findall(r"[\p{L}\p{N}]+", s.lower()) for s in suffixes]
         self.suffixes = {" ".join(w) for w in spelt} | {"".join(w) for w in spelt if all(len(x) == 1 for x in w)}
 
+    def _meant(self, word: str) -> tuple[frozenset[str], frozenset[str]]:
+        """The words of trades that ``word`` may stand for, typed with a slip, and cut short."""
+        known = self.memory.get(word)
+        if known is None:
+            if len(self.memory) > 100_000:
+                self.memory.clear()
+            known = self.memory[word] = (frozenset(p for p in self.parts if _slipped(word, p)), frozenset(p for p in self.parts if word == p or shortened(word, p)))
+        return known
+
     def trade_at(self, words: list[str], i: int) -> tuple[str, int] | None:
         for n in range(min(self.longest, len(words) - i), 0, -1):
             t = self.phrases.get(tuple(words[i : i + n]))
             if t:
                 return t, n
-        for phrase, t in self.phrases.items():  # words with a slip
-            n = len(phrase)
-            if i + n <= len(words) and all(a == b or len(b) > 3 and edits(a, b, 1) <= 1 or len(b) > 8 and edits(a, b, 2) <= 2 for a, b in zip(words[i : i + n], phrase)):
-                return t, n
-        for phrase, t in self.phrases.items():
-            n = len(phrase)
-            if phrase == tuple(t.split()) and i + n <= len(words) and n > 1 and all(a == b or shortened(a, b) for a, b in zip(words[i : i + n], phrase)):
-                return t, n
+        near = [self._meant(w) for w in words[i : i + self.longest]]
+        for k, full in ((0, False), (1, True)):  # words with a slip; whole names of trades with words cut short
+            if not near[0][k]:
+                continue
+            for phrase, t in self.phrases.items():
+                n = len(phrase)
+                if n <= len(near) and phrase[0] in near[0][k] and (not full or n > 1 and phrase == tuple(t.split())) and all(p in x[k] for p, x in zip(phrase, near)):
+                    return t, n
         return None
 
     def parse(self, name: str) -> tuple[list[str], str | None] | None:
