@@ -121,6 +121,16 @@ def ont_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 _q = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+@query()
+def ont_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """(raw, canonical, tier) of every distinct value: exact names, aliases, the same without marks, then the fuzzy tier for what
+    those leave; NULL where none knows it."""
+    exact = canonicalise(P.table(spark, d, "skill_matches"), "raw", P.table(spark, d, "ontology_skills"))
+    fuzzy = ont_fuzzy(spark, d).select("raw", F.col("canonical").alias("near"))
+    both = exact.join(fuzzy, "raw", "left")
+    return both.select("raw", F.coalesce("canonical", "near").alias("canonical"), F.when(F.col("canonical").isNotNull(), F.col("tier")).when(F.col("near").isNotNull(), "fuzzy").alias("tier"))
+
+
 _TT = rf"""pat(t,f,s) as (values {_q(R.TITLES)}), kw(f,w,o) as (values {_q(R.keywords())}), inf(w,f) as (values {_q(R.INFLATION.items())}), sen(s,i) as (values {_q([(s, i) for i, s in enumerate(R.SENIORITY)])}),
 v as (select distinct title from experience where regexp_matches(title,'\S') union select distinct title from roles), c as (select title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)),'[^a-z0-9+# ]',' ','g'),'\b(i{{1,3}}|iv|v|vi{{1,3}}|ix|x)\b',' ','g'),'\b[0-9]+\b',' ','g'),'\s+',' ','g')) cleaned from v),
 tk as (select title, unnest(string_split(cleaned,' ')) w, unnest(range(len(string_split(cleaned,' ')))) p from c), iv as (select title, arg_min(f,p) f from tk join inf using(w) group by 1), sv as (select title, max(i) i from tk join sen on sen.s=tk.w group by 1), kv as (select title, arg_min(f,(-length(w),o)) f from c join kw on contains(cleaned,w) group by 1),

@@ -124,13 +124,3 @@ def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, to
     ranked = S.rank(cards, threshold, top)
     flags = F.when(F.col("injected") > 0, F.array(F.lit("PROMPT_INJECTION"))).otherwise(none)
     return ranked.select("job_id", "rank", "candidate_id", "composite", X.band(F.col("composite")).alias("band"), "selected", "missing", flags.alias("flags"))
-
-
-def run_folder(spark: SparkSession, folder: str, job_file: str, threshold: float = 70.0, top: int | None = None) -> DataFrame:
-    """A folder of files and one job description file to a shortlist."""
-    from lodeshift.sources.files import extract, manifest
-
-    good, _ = manifest(spark, folder)
-    documents = extract(good).where("text is not null").select("candidate_id", "text")
-    jobs = spark.read.text(job_file, wholetext=True).select(F.lit("j1").alias("job_id"), F.col("value").alias("text"))
-    return shortlist(documents, jobs, threshold, top)

@@ -286,3 +286,16 @@ def int_findings(spark: SparkSession, d: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+TERMS = ["speech therapy", "battery testing", "release management", "patent research", "signal analysis", "network cabling", "classroom teaching", "first aid", "water treatment", "arc welding", "grid protection", "solar installation", "payroll accounting", "test scripting"]
+_TERMS = "(?i)" + chr(92) + "b(?:" + "|".join(TERMS) + ")" + chr(92) + "b"
+
+
+@query(f"""with p as (select block_id, string_split_regex(text,'{_TERMS}') p, regexp_extract_all(text,'{_TERMS}') h from (select distinct block_id, text from line_blocks) where regexp_matches(coalesce(text,''),'{_TERMS}')), e as (select block_id, unnest(range(1,len(h)+1)) i, unnest(h) h, unnest(p[1:len(h)]) p from p)
+select block_id, lower(h) as term, (sum(length(p)+length(h)) over (partition by block_id order by i) - length(h))::int as start, (sum(length(p)+length(h)) over (partition by block_id order by i))::int as "end" from e""")
+def str_term_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of terms of several words in lines, with its place in code points."""
+    t = P.table(spark, d, "line_blocks").where(F.coalesce("text", F.lit("")).rlike(_TERMS)).select("block_id", "text").distinct()
+    s = t.select("block_id", "text", F.explode(match_spans(F.col("text"), _TERMS)).alias("s"))
+    return s.select("block_id", F.lower(F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("term"), "s.start", "s.end")

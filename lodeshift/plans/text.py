@@ -335,15 +335,16 @@ def txt_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return seeded(spark, d).select("doc_id", F.regexp_replace(F.regexp_replace("text", _INJ, ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "").alias("text"))
 
 
-@query(r"""with l as (select distinct block_id, candidate_id, text, font_size, color, render_mode, x0, top from line_blocks where text is not null and candidate_id is not null), h as (select candidate_id, len(regexp_extract_all(text,'\S+')) n, coalesce(render_mode=3,false) or coalesce(font_size<4,false) or coalesce(len(color)=3 and sqrt((1-color[1])*(1-color[1])+(1-color[2])*(1-color[2])+(1-color[3])*(1-color[3]))*100<5,false) or coalesce(x0<0 or top<0,false) hidden from l)
+@query(r"""with l as (select distinct block_id, candidate_id, text, font_size, color, render_mode, x0, top, x1, bottom from line_blocks where text is not null and candidate_id is not null), h as (select candidate_id, len(regexp_extract_all(text,'\S+')) n, coalesce(render_mode=3,false) or coalesce(font_size<4,false) or coalesce(len(color)=3 and sqrt((1-color[1])*(1-color[1])+(1-color[2])*(1-color[2])+(1-color[3])*(1-color[3]))*100<5,false) or coalesce(x0<0,false) or coalesce(top<0,false) or coalesce(x1>612e0,false) or coalesce(bottom>792e0,false) hidden from l)
 select candidate_id, sum(n) tokens, sum(case when hidden then n else 0 end) hidden_tokens, sum(case when hidden then n else 0 end) > 0.15e0*sum(n) flagged from h group by 1""")
 def int_hidden_text(spark: SparkSession, d: str) -> DataFrame:
     """Invisible, tiny, white or off-page text per owner, by share of words; partial sums before the shuffle."""
-    l = P.table(spark, d, "line_blocks").where("text is not null and candidate_id is not null").select("block_id", "candidate_id", "text", "font_size", "color", "render_mode", "x0", "top").distinct()
+    l = P.table(spark, d, "line_blocks").where("text is not null and candidate_id is not null").select("block_id", "candidate_id", "text", "font_size", "color", "render_mode", "x0", "top", "x1", "bottom").distinct()
     off = lambda i: (1 - F.get("color", F.lit(i))) * (1 - F.get("color", F.lit(i)))
     white = (F.size("color") == 3) & (F.sqrt(off(0) + off(1) + off(2)) * 100 < 5)
     no = F.lit(False)
-    hidden = F.coalesce(F.col("render_mode") == 3, no) | F.coalesce(F.col("font_size") < 4, no) | F.coalesce(white, no) | F.coalesce((F.col("x0") < 0) | (F.col("top") < 0), no)
+    away = F.coalesce(F.col("x0") < 0, no) | F.coalesce(F.col("top") < 0, no) | F.coalesce(F.col("x1") > 612, no) | F.coalesce(F.col("bottom") > 792, no)
+    hidden = F.coalesce(F.col("render_mode") == 3, no) | F.coalesce(F.col("font_size") < 4, no) | F.coalesce(white, no) | away
     n = F.regexp_count("text", F.lit(r"\S+"))
     by = l.groupBy("candidate_id").agg(F.sum(n).alias("tokens"), F.sum(F.when(hidden, n).otherwise(0)).alias("hidden_tokens"))
     return by.withColumn("flagged", F.col("hidden_tokens") > 0.15 * F.col("tokens"))

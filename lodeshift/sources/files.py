@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import os
 import re
@@ -228,14 +227,16 @@ def write_scores(frame: DataFrame, folder: str) -> None:
     frame.write.mode("overwrite").option("header", True).csv(folder)
 
 
-def job_hash(text: str) -> str:
-    """The hash of a job description that audit records carry."""
-    return hashlib.sha256(" ".join(text.split()).encode()).hexdigest()
+def hash_of(text: Column) -> Column:
+    """The hash of a job description that audit records carry; blanks and line ends don't matter."""
+    return F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256)
 
 
-def write_audit(cards: DataFrame, folder: str, job_hash: str) -> None:
-    """One JSON record per candidate, with the hash of the requirements."""
-    cards.withColumn("jobspec_sha256", F.lit(job_hash)).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
+def write_audit(cards: DataFrame, folder: str, job_hash: str | None = None) -> None:
+    """One JSON record per card, with the hash of its requirements: a column that ``cards`` bring, or one hash for all."""
+    if job_hash is not None:
+        cards = cards.withColumn("jobspec_sha256", F.lit(job_hash))
+    cards.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
 
 
 def safe_name(name: Column) -> Column:
