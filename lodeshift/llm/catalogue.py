@@ -10,7 +10,7 @@ from lodeshift.llm import plans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(plans, name) for name in ("p2_found", "p3_found", "p3_redacted", "p4_found", "p4_paragraphs", "p5_found", "p7_ids", "p8_mix", "p8_shares", "p9_found")}
+    return {name: getattr(plans, name) for name in ("p2_found", "p2_organisations", "p3_found", "p3_redacted", "p4_found", "p4_paragraphs", "p5_found", "p7_ids", "p8_mix", "p8_shares", "p9_found")}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -340,3 +340,9 @@ def variant_pairs(resolved: DataFrame) -> DataFrame:
     a = resolved.select("field", "organisation", F.col("name").alias("name_a"))
     b = resolved.select("field", "organisation", F.col("name").alias("name_b"))
     return a.join(b, ["field", "organisation"]).where("name_a < name_b").select("field", "name_a", "name_b")
+
+
+def with_variants(resolved: DataFrame) -> DataFrame:
+    """Each spelling with the number of other spellings of its organisation; counts are aggregated before they are joined."""
+    sizes = resolved.groupBy("organisation").agg((F.count("*") - 1).alias("variants"))
+    return resolved.join(sizes, "organisation").select("field", "name", "organisation", "variants")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeshift.llm.canonical import map_values
 from lodeshift.llm.mixing import balanced_mix, shares
-from lodeshift.llm.names import resolve_names, variant_pairs
+from lodeshift.llm.names import resolve_names, variant_pairs, with_variants
 from lodeshift.llm.pii import find_pii, redact_pii
 from lodeshift.llm.scans import find_noise, reflow, wrong_glyphs
 from lodeshift.llm.sentences import sentences
@@ -50,12 +50,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     employers = table(spark, sf_dir, "experience").select(F.lit("employer").alias("field"), F.col("employer").alias("name"))
     schools = table(spark, sf_dir, "education").select(F.lit("institution").alias("field"), F.col("institution").alias("name"))
     aliases = [(r["alias"], r["canonical"]) for r in table(spark, sf_dir, "employer_aliases").where("alias is not null and canonical is not null").collect()]
     suffixes = [r["suffix"] for r in table(spark, sf_dir, "legal_suffixes").where("suffix is not null").collect()]
-    return variant_pairs(resolve_names(employers.unionByName(schools), aliases, suffixes))
+    return resolve_names(employers.unionByName(schools), aliases, suffixes)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(_resolved(spark, sf_dir))
+
+
+def p2_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, name, organisation, variants): every spelling with its class and how many others mean the same, no pairs."""
+    return with_variants(_resolved(spark, sf_dir))
 
 
 def _scan_noise(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -1,6 +1,6 @@
 import pytest
 
-from lodeshift.llm.names import Parser, crossed, resolve_names, strong_keys, variant_pairs
+from lodeshift.llm.names import Parser, crossed, resolve_names, strong_keys, variant_pairs, with_variants
 
 ALIASES = [("brzq", "kelmo tarvin logistics"), ("old kelmo", "kelmo tarvin logistics"), ("fernis dorlat works", "kelmo tarvin logistics")]
 SUFFIXES = ["gmbh", "g.m.b.h.", "ltd", "ltd.", "s.a."]
@@ -34,6 +34,7 @@ def test_resolution(spark):
     found = sorted(map(sorted, (v for (f, _), v in got.items() if f == "employer")))
     assert found == sorted([*map(sorted, groups.values()), ["x" * 40_000]])
     assert sorted(map(sorted, (v for (f, _), v in got.items() if f == "institution"))) == [["Orfel Nardin College"], ["Orfel Nardin Univ", "University of Orfel Nardin"]]
+    assert all(r.variants == len(got[r.field, r.organisation]) - 1 for r in with_variants(resolved).collect())
     pairs = {(r.name_a, r.name_b) for r in variant_pairs(resolved).where("field = 'employer'").collect()}
     assert pairs == {(a, b) for g in groups.values() for a in g for b in g if a < b}
 
