@@ -13,6 +13,7 @@ from lodeshift.functions import refdata as R
 from lodeshift.operators import titles as T
 from lodeshift.plans import projections as P
 from lodeshift.plans.registry import query
+from lodeshift.session import fixed_rows
 
 _ALIAS = "a as (select lower(canonical) k, canonical, 'exact' tier, 0 o from ontology_skills union all select lower(unnest(aliases)), canonical, 'alias', 1 from ontology_skills), al as (select k, arg_min(canonical,(o,canonical)) canonical, arg_min(tier,(o,canonical)) tier from a group by 1)"
 
@@ -86,7 +87,7 @@ def ont_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     Names whose letters rule out the ratio are not compared; the reference list is fixed and goes with the function.
     """
     o = P.table(spark, d, "ontology_skills")
-    names = sorted(r["canonical"] for r in o.select("canonical").distinct().collect())
+    names = sorted(r["canonical"] for r in fixed_rows(o.select("canonical").distinct()))
     rest = canonicalise(P.table(spark, d, "skill_matches"), "raw", o).where("canonical is null").select("raw")
 
     # Letters that only one of two texts has are edits whatever their order: a bound that rules most names out at once.

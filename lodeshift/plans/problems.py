@@ -9,7 +9,7 @@ from lodeshift.functions.dates import MONTHS, PRESENT, typed_month, yyyymm
 from lodeshift.operators.intervals import merge_intervals
 from lodeshift.operators.packed import split_packed
 from lodeshift.plans.registry import query
-from lodeshift.session import latest, table
+from lodeshift.session import fixed_rows, latest, table
 
 NOW = 202608
 
@@ -64,7 +64,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_skills(spark: SparkSession, sf_dir: str) -> list[str]:
     """Canonical names and aliases of the fixed reference list of skills."""
     names = table(spark, sf_dir, "ontology_skills").select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
-    return [r["n"] for r in names.where("n is not null").distinct().collect()]
+    return [r["n"] for r in fixed_rows(names.where("n is not null").distinct())]
 
 
 @query()

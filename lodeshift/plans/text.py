@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from lodeshift.operators import layout as L
 from lodeshift.plans import projections as P
 from lodeshift.plans.registry import query
-from lodeshift.session import latest
+from lodeshift.session import fixed_rows, latest
 
 # Common words of seven languages, a parameter of the detector.
 STOPWORDS = {
@@ -259,7 +259,7 @@ def str_skill_harvest(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def str_vocab_scan(spark: SparkSession, d: str) -> DataFrame:
     """All names of the reference list in whole texts, the longest first, at borders of words: counts per name."""
-    names = sorted({r["n"].lower() for r in P.table(spark, d, "ontology_skills").select(F.explode(F.concat(F.array("canonical"), "aliases")).alias("n")).collect()}, key=lambda n: (-len(n), n))
+    names = sorted({r["n"].lower() for r in fixed_rows(P.table(spark, d, "ontology_skills").select(F.explode(F.concat(F.array("canonical"), "aliases")).alias("n")))}, key=lambda n: (-len(n), n))
     import re
 
     pattern = r"(?<![a-z0-9])(" + "|".join(re.escape(n).replace("\\-", "-").replace("\\ ", " ") for n in names) + r")(?![a-z0-9])"

@@ -49,6 +49,14 @@ def is_bounded(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fixed_rows(df: DataFrame, most: int = 100_000) -> list:
+    """The rows of a reference list, brought to the driver; an error if it is larger than ``most``, for then it is none."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a reference list of more than {most} rows: {df.columns}")
+    return rows
+
+
 def latest(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row per ``key``: the last delivery (NULL times count as earliest). Partial aggregates, no window."""
     from pyspark.sql import functions as F

@@ -10,7 +10,7 @@ from lodeshift.plans import structuring as G
 from lodeshift.plans.pipeline import compile_jobs, named_skills
 from lodeshift.plans.reports import explanation
 from lodeshift.plans.text import _INJ, DATES
-from lodeshift.session import ensure_checkpoint_dir
+from lodeshift.session import ensure_checkpoint_dir, fixed_rows
 from lodeshift.sources import files
 
 
@@ -120,3 +120,9 @@ def test_bombs_are_rejected(spark, tmp_path):
 def test_checkpoint_folder_is_set_here(spark):
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def test_reference_lists_are_bounded(spark):
+    assert len(fixed_rows(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError, match="reference list"):
+        fixed_rows(spark.range(6), 5)
