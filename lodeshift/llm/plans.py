@@ -14,7 +14,7 @@ from lodeshift.llm.pii import find_pii, redact_pii
 from lodeshift.llm.scans import find_noise, reflow, wrong_glyphs
 from lodeshift.llm.sentences import sentences
 from lodeshift.llm.tokens import TOKENIZERS, count_tokens, encode_corpus
-from lodeshift.session import latest, shuffle_width, table
+from lodeshift.session import fixed_rows, latest, shuffle_width, table
 
 TOKENIZER_DIR = os.environ.get("LODESHIFT_TOKENIZERS", TOKENIZERS)
 
@@ -35,8 +35,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     skills = table(spark, sf_dir, "ontology_skills").select("canonical", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     titles = table(spark, sf_dir, "title_families").select("family", F.explode("keywords").alias("name"))
     names = {
-        "skill_matches": [(r["name"], r["canonical"]) for r in skills.collect()],
-        "title_matches": [(r["name"], r["family"]) for r in titles.collect()],
+        "skill_matches": [(r["name"], r["canonical"]) for r in fixed_rows(skills)],
+        "title_matches": [(r["name"], r["family"]) for r in fixed_rows(titles)],
     }
     parts = [map_values(spread(table(spark, sf_dir, t).select("match_id", "raw")), "match_id", "raw", n).select(F.lit(t).alias("origin"), "match_id", "entry") for t, n in names.items()]
     return parts[0].unionByName(parts[1])
@@ -53,8 +53,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     employers = table(spark, sf_dir, "experience").select(F.lit("employer").alias("field"), F.col("employer").alias("name"))
     schools = table(spark, sf_dir, "education").select(F.lit("institution").alias("field"), F.col("institution").alias("name"))
-    aliases = [(r["alias"], r["canonical"]) for r in table(spark, sf_dir, "employer_aliases").where("alias is not null and canonical is not null").collect()]
-    suffixes = [r["suffix"] for r in table(spark, sf_dir, "legal_suffixes").where("suffix is not null").collect()]
+    aliases = [(r["alias"], r["canonical"]) for r in fixed_rows(table(spark, sf_dir, "employer_aliases").where("alias is not null and canonical is not null"))]
+    suffixes = [r["suffix"] for r in fixed_rows(table(spark, sf_dir, "legal_suffixes").where("suffix is not null"))]
     return resolve_names(employers.unionByName(schools), aliases, suffixes)
 
 
