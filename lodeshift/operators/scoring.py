@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeshift.functions import factors as X
 from lodeshift.operators.intervals import merge_intervals
-from lodeshift.session import cut, shuffle_width
+from lodeshift.session import cut, is_bounded, shuffle_width, stored
 
 
 def match_evidence(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -102,16 +102,18 @@ def rank(cards: DataFrame, threshold: float, top: int | None = None, job: str =
 
     Cards are range-sorted by job and order over all partitions, so a job of any size is no single task; a rank is the
     place within its partition behind the counts of the partitions before, one row a partition and job. The sorted
-    cards are kept in the checkpoint folder, so that counts and places are of the same partitions.
+    cards are kept with their places in the checkpoint folder, compressed, so that counts and places are of the same
+    partitions.
     """
     spark = cards.sparkSession
     down = lambda c: F.desc(F.coalesce(F.col(c), F.lit(0.0)))
     order = [F.col(job), down("composite"), down("s1"), down("s4"), down("confidence"), F.col("candidate_id")]
-    kept = cut(cards.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order))
-    placed = kept.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    kept = cards.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    placed = stored(kept.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = placed.groupBy(job, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(job).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(job).alias("_job"), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_shift"))
+    starts = cut(counts.select(F.col(job).alias("_job"), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_shift")))
+    starts = F.broadcast(starts) if is_bounded(starts, 100_000) else starts
     ranked = placed.join(starts, F.col(job).eqNullSafe(F.col("_job")) & (F.col("_part") == F.col("_p"))).withColumn("rank", (F.col("_place") + F.col("_shift") + 1).cast("int"))
     chosen = F.col("eligible") & (F.col("composite") >= threshold)
     return ranked.drop("_part", "_place", "_job", "_p", "_shift").withColumn("selected", chosen & (F.col("rank") <= top) if top is not None else chosen)

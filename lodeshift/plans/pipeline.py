@@ -11,7 +11,7 @@ from lodeshift.operators import titles as T
 from lodeshift.plans.requirements import LIST_MARK, sectioned, skill_names, weigh, years_asked
 from lodeshift.plans.statistics import parse_date, split_range
 from lodeshift.plans.text import _INJ, is_heading, section_kind
-from lodeshift.session import cut, is_bounded
+from lodeshift.session import cut, is_bounded, shuffle_width, stored
 
 RUN_DATE = "2026-08-29"
 
@@ -63,64 +63,105 @@ def named_skills(lines: DataFrame, skills: DataFrame) -> DataFrame:
     return said.join(F.broadcast(names) if is_bounded(names, 100_000) else names, "skill").select("candidate_id", "role", "listed", "skill").distinct()
 
 
-def _covered(pairs: DataFrame, hits: DataFrame, skills: DataFrame, kind: str, empty: float | None) -> DataFrame:
-    """(job_id, candidate_id, value, missing): coverage of one kind of skills. Only hits are joined with the jobs' skills; what
-    a candidate misses is the job's list, a few dozen names, less them."""
-    wanted = skills.where(F.col("kind") == kind)
-    lists = wanted.groupBy("job_id").agg(F.collect_set("skill").alias("names"), F.sum("weight").alias("total"))
-    m = F.when(F.col("listed"), X.PROFICIENCY["listed"]).otherwise(X.PROFICIENCY["narrated"])
-    best = hits.groupBy("candidate_id", "skill").agg(F.max(m).alias("m"))
-    met = best.join(wanted.select("job_id", "skill", "weight"), "skill").groupBy("job_id", "candidate_id").agg(F.sum(F.col("weight") * F.col("m")).alias("met"), F.collect_set("skill").alias("found"))
-    none = F.array().cast("array<string>")
-    value = F.when(F.coalesce("total", F.lit(0.0)) > 0, F.round(100.0 * F.coalesce("met", F.lit(0.0)) / F.col("total"), 6)).otherwise(F.lit(empty).cast("double"))
-    missing = F.array_sort(F.array_except(F.coalesce("names", none), F.coalesce("found", none)))
-    return pairs.join(lists, "job_id", "left").join(met, ["job_id", "candidate_id"], "left").select("job_id", "candidate_id", value.alias("value"), missing.alias("missing"))
+def _total(kind: str):
+    return F.aggregate(F.filter("asks", lambda x: x["kind"] == kind), F.lit(0.0), lambda acc, x: acc + x["weight"])
 
 
-def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, top: int | None = None) -> DataFrame:
-    """(job_id, rank, candidate_id, composite, band, selected, missing, flags) of every candidate for every job.
+def job_profiles(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profiles, members): what jobs (job_id, text) ask for, each different set once under its smallest job, and (profile, job_id).
 
-    ``documents`` is (candidate_id, text), ``jobs`` (job_id, text). NULL and blank documents score 0 where text counts;
-    repeated ids count once, by their longest text. Dimensions that the texts can't show are left out and their weight
-    goes to the others. Every pair of a job and a candidate is a row of the result, so their ids meet in full; texts
-    and roles meet jobs by the names of skills and families alone.
+    ``base`` names the first profile that is equal but for the skills' names: without a skill found they score alike.
     """
-    docs = documents.where("candidate_id is not null").groupBy("candidate_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    skills, needs = compile_jobs(jobs)
-    profiles, roles, lines = structure(docs.where(r"text rlike '\\S'"))
-    none = F.array().cast("array<string>")
-    full = docs.select("candidate_id").join(profiles, "candidate_id", "left").select("candidate_id", F.coalesce("sections", none).alias("sections"), F.coalesce("injected", F.lit(0)).alias("injected"))
-    ids = needs.select("job_id")
-    pairs = docs.select("candidate_id").crossJoin(F.broadcast(ids) if is_bounded(ids, 100_000) else ids)
-    hits = cut(named_skills(lines, skills))
-    s1, s2 = _covered(pairs, hits, skills, "required", 100.0), _covered(pairs, hits, skills, "preferred", None)
-    # Roles: similarity of titles by families, overlap by the required skills named under a role.
-    rated = T.normalise_titles(roles.select("title").distinct())
+    one = jobs.where("job_id is not null").groupBy("job_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    skills, needs = compile_jobs(one)
+    asks = skills.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("kind", "skill", "weight"))).alias("asks"))
     targets = T.normalise_titles(needs.select("title")).select("title", F.col("family").alias("other"), F.col("seniority").alias("wanted"))
-    wanted = needs.join(targets, "title", "left").select("job_id", "other", "wanted")
-    held = roles.where("s is not null and s <= e").join(rated, "title", "left")
-    required = skills.where("kind = 'required'")
-    asked = required.groupBy("job_id").agg(F.count("*").alias("asked"))
-    shown = hits.where("role > 0").select("candidate_id", "role", "skill").distinct().join(required.select("job_id", "skill"), "skill").groupBy("job_id", "candidate_id", "role").agg(F.count("*").alias("shown"))
-    met = T.title_similarity(held.crossJoin(F.broadcast(wanted) if is_bounded(wanted, 100_000) else wanted))
-    met = met.join(asked, "job_id", "left").join(shown, ["job_id", "candidate_id", "role"], "left")
-    overlap = F.when(F.col("asked").isNull(), 1.0).otherwise(F.coalesce("shown", F.lit(0)) / F.col("asked"))
-    relevance = X.clip(0.35 * F.col("similarity") + 0.45 * overlap + 0.20, 0.0, 1.0)  # no domain is asked for: its term is full
-    years = S.relevant_years(met.select(F.struct("job_id", "candidate_id").alias("candidate_id"), "s", "e", relevance.alias("relevance"), F.lit(1.0).alias("factor")))
-    years = years.select("candidate_id.job_id", "candidate_id.candidate_id", "years")
+    own = ["min_years", "target_years", "other", "wanted", "asks"]
+    whole = needs.join(asks, "job_id", "left").join(targets, "title", "left").withColumn("asks", F.coalesce("asks", F.array().cast("array<struct<kind:string,skill:string,weight:double>>")))
+    whole = cut(whole.select("job_id", *own, F.to_json(F.struct(*own)).alias("key")))
+    names = F.array_sort(F.transform(F.filter("asks", lambda x: x["kind"] == "required"), lambda x: x["skill"]))
+    each = whole.groupBy("key").agg(F.min("job_id").alias("profile"), *[F.first(c).alias(c) for c in own]).withColumns({"names": names, "total": _total("required"), "liked": _total("preferred")})
+    each = each.withColumn("kin", F.to_json(F.struct(*own[:4], F.col("total") > 0, F.col("liked") > 0)))
+    kin = each.groupBy("kin").agg(F.min("profile").alias("base"))
+    profiles = cut(each.join(kin, "kin").drop("kin"))
+    return profiles.drop("key"), whole.select("key", "job_id").join(profiles.select("key", "profile"), "key").select("profile", "job_id")
+
+
+def _careers(met: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, years, fit) of roles (*by, family, seniority, s, e) beside a job's other, wanted and the overlap of skills."""
+    met = T.title_similarity(met)
+    relevance = X.clip(0.35 * F.col("similarity") + 0.45 * F.col("overlap") + 0.20, 0.0, 1.0)  # no domain is asked for: its term is full
+    years = S.relevant_years(met.select(F.struct(*by).alias("candidate_id"), "s", "e", relevance.alias("relevance"), F.lit(1.0).alias("factor")))
+    years = years.select(*[F.col(f"candidate_id.{c}").alias(c) for c in by], "years")
     gap = F.coalesce(T.seniority_index(F.col("seniority")) - T.seniority_index(F.col("wanted")), F.lit(0))
     age = X.years_by_days(F.col("e"), F.to_date(F.lit(RUN_DATE)))
-    fit = met.groupBy("job_id", "candidate_id").agg(F.max(F.col("similarity") * X.seniority_factor(gap) * F.when(age <= 0, 1.0).otherwise(X.recency(age, 6.0, 0.55))).alias("fit"))
-    base = pairs.join(full, "candidate_id").join(needs.select("job_id", "min_years", "target_years"), "job_id").join(years, ["job_id", "candidate_id"], "left").join(fit, ["job_id", "candidate_id"], "left")
+    fit = met.groupBy(*by).agg(F.max(F.col("similarity") * X.seniority_factor(gap) * F.when(age <= 0, 1.0).otherwise(X.recency(age, 6.0, 0.55))).alias("fit"))
+    return years.join(fit, by)
+
+
+def _scored(rows: DataFrame, met, liked) -> DataFrame:
+    """Adds s1, s4 and the composite to rows that have a profile's needs, a candidate's lost and flagged, years and fit;
+    ``met`` and ``liked`` are the weights met of the required and the preferred skills."""
+    share = lambda part, whole, empty: F.when(F.col(whole) > 0, F.round(100.0 * part / F.col(whole), 6)).otherwise(F.lit(empty).cast("double"))
     s4 = X.years_score(F.coalesce("years", F.lit(0.0)), F.col("min_years"), F.col("target_years"))
-    lost = F.size(F.array_except(F.array(F.lit("experience"), F.lit("skills"), F.lit("education")), "sections"))
-    wide = base.select("job_id", "candidate_id", "injected", s4.alias("s4"), (100.0 * F.coalesce("fit", F.lit(0.0))).alias("s5"), (100.0 - 15.0 * F.least(lost, F.lit(2))).alias("s10"))
-    wide = wide.join(s1.withColumnRenamed("value", "s1"), ["job_id", "candidate_id"]).join(s2.select("job_id", "candidate_id", F.col("value").alias("s2")), ["job_id", "candidate_id"])
+    s5, s10 = 100.0 * F.coalesce("fit", F.lit(0.0)), 100.0 - 15.0 * F.least("lost", F.lit(2))
+    wide = rows.withColumns({"s1": share(met, "total", 100.0), "s2": share(liked, "liked", None), "s4": s4, "s5": s5, "s10": s10})
     names = {k: v for k, v in X.WEIGHTS.items() if k in ("S1", "S2", "S4", "S5", "S10")}
     active = sum((F.when(F.col(n.lower()).isNotNull(), w).otherwise(0.0) for n, w in names.items()), F.lit(0.0))
     score = sum((F.coalesce(F.round(F.lit(w) * F.col(n.lower()) / F.col("active"), 2), F.lit(0.0)) for n, w in names.items()), F.lit(0.0))
-    penalty = F.when(F.col("injected") > 0, S.PENALTIES["PROMPT_INJECTION"]).otherwise(0.0)
-    cards = wide.withColumn("active", active).withColumn("composite", X.clip(F.round(score - penalty, 2), 0.0, 100.0)).withColumn("confidence", F.lit(1.0)).withColumn("eligible", F.lit(True))
-    ranked = S.rank(cards, threshold, top)
-    flags = F.when(F.col("injected") > 0, F.array(F.lit("PROMPT_INJECTION"))).otherwise(none)
-    return ranked.select("job_id", "rank", "candidate_id", "composite", X.band(F.col("composite")).alias("band"), "selected", "missing", flags.alias("flags"))
+    penalty = F.when(F.col("flagged"), S.PENALTIES["PROMPT_INJECTION"]).otherwise(0.0)
+    return wide.withColumn("active", active).withColumn("composite", X.clip(F.round(score - penalty, 2), 0.0, 100.0))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_bounded(df, 100_000) else df
+
+
+def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, top: int | None = None) -> DataFrame:
+    """(job_id, rank, candidate_id, composite, band, selected, missing, flags) of every candidate for every job.
+
+    ``documents`` is (candidate_id, text), ``jobs`` (job_id, text). NULL and blank documents score 0 where text counts;
+    repeated ids count once, by their longest text. Dimensions that the texts can't show are left out and their weight
+    goes to the others. Every pair of a job and a candidate is a row of the result, but only the last step makes it: jobs
+    that ask for the same are ranked once, as a profile; candidates in whom a profile finds no skill are scored by
+    their sections and career alone, equal ones once; what is sorted of a pair are its scores and the skills found.
+    """
+    docs = documents.where("candidate_id is not null").groupBy("candidate_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    profiles, members = job_profiles(jobs)
+    few = _small(profiles.drop("asks"))
+    sections, roles, lines = structure(docs.where(r"text rlike '\\S'"))
+    none = F.array().cast("array<string>")
+    # Roles with the families of their titles; candidates with what scores without a skill, equal ones as one kind.
+    held = roles.where("s is not null and s <= e").join(T.normalise_titles(roles.select("title").distinct()), "title", "left").select("candidate_id", "role", "family", "seniority", "s", "e")
+    careers = held.groupBy("candidate_id").agg(F.sort_array(F.collect_set(F.struct("family", "seniority", "s", "e"))).alias("career"))
+    lost = F.size(F.array_except(F.array(F.lit("experience"), F.lit("skills"), F.lit("education")), F.coalesce("sections", none)))
+    full = docs.select("candidate_id").join(sections, "candidate_id", "left").join(careers, "candidate_id", "left")
+    full = full.select("candidate_id", lost.alias("lost"), F.coalesce(F.col("injected") > 0, F.lit(False)).alias("flagged"), "career")
+    full = stored(full.withColumn("like", F.sha2(F.to_json(F.struct("lost", "flagged", "career")), 256)))
+    kinds = cut(full.groupBy("like").agg(*[F.first(c).alias(c) for c in ("lost", "flagged", "career")]).withColumn("kind", F.monotonically_increasing_id()))
+    bases = profiles.where("profile = base").select("base", "min_years", "target_years", "other", "wanted", "total", "liked")
+    beside = kinds.crossJoin(_small(bases))
+    dated = beside.select("base", "kind", "other", "wanted", F.when(F.col("total") > 0, 0.0).otherwise(1.0).alias("overlap"), F.explode("career").alias("r")).select("base", "kind", "other", "wanted", "overlap", "r.*")
+    plain = stored(_scored(beside.drop("career").join(_careers(dated, ["base", "kind"]), ["base", "kind"], "left"), F.lit(0.0), F.lit(0.0)).select("base", "kind", "composite", "s1", "s4"))
+    # Pairs with a skill found: the names met, on the candidate's partition.
+    wanted = profiles.select("profile", F.explode("asks").alias("a")).select("profile", "a.kind", "a.skill", "a.weight")
+    hits = cut(named_skills(lines, wanted)).repartition(shuffle_width(docs.sparkSession), "candidate_id")
+    m = F.when(F.col("listed"), X.PROFICIENCY["listed"]).otherwise(X.PROFICIENCY["narrated"])
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    gained = F.col("weight") * F.col("m")
+    met = hits.groupBy("candidate_id", "skill").agg(F.max(m).alias("m")).join(_small(wanted), "skill").groupBy("candidate_id", "profile")
+    met = stored(met.agg(F.coalesce(F.sum(of("required", gained)), F.lit(0.0)).alias("met"), F.coalesce(F.sum(of("preferred", gained)), F.lit(0.0)).alias("likes"), F.collect_set(of("required", F.col("skill"))).alias("found")))
+    shown = hits.where("role > 0").select("candidate_id", "role", "skill").distinct().join(_small(wanted.where("kind = 'required'").select("profile", "skill")), "skill").groupBy("candidate_id", "profile", "role").agg(F.count("*").alias("shown"))
+    overlap = F.when(F.size("names") == 0, 1.0).otherwise(F.coalesce("shown", F.lit(0)) / F.size("names"))
+    dated = met.select("candidate_id", "profile").join(held, "candidate_id").join(few, "profile").join(shown, ["candidate_id", "profile", "role"], "left").withColumn("overlap", overlap)
+    found = met.join(full.select("candidate_id", "lost", "flagged"), "candidate_id").join(few, "profile").join(_careers(dated, ["profile", "candidate_id"]), ["profile", "candidate_id"], "left")
+    found = _scored(found, F.col("met"), F.col("likes")).groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("profile", F.struct("composite", "s1", "s4", "found")))).alias("special"))
+    # All pairs, narrow: a profile's own score of a candidate, else that of the kind.
+    many = full.join(kinds.select("like", "kind"), "like").join(found, "candidate_id", "left").select("candidate_id", "kind", "flagged", "special")
+    pairs = many.crossJoin(_small(profiles.select("profile", "base"))).withColumn("x", F.col("special")[F.col("profile")]).join(_small(plain), ["base", "kind"])
+    own = lambda c: F.when(F.col("x").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(c)).alias(c)
+    cards = pairs.select("profile", "candidate_id", "flagged", own("composite"), own("s1"), own("s4"), F.col("x.found").alias("found"), F.lit(1.0).alias("confidence"), F.lit(True).alias("eligible"))
+    ranked = S.rank(cards, threshold, top, "profile").join(_small(profiles.select("profile", "names")), "profile").join(_small(members), "profile")
+    missing = F.array_except("names", F.coalesce("found", none))
+    flags = F.when(F.col("flagged"), F.array(F.lit("PROMPT_INJECTION"))).otherwise(none)
+    return ranked.select("job_id", "rank", "candidate_id", "composite", X.band(F.col("composite")).alias("band"), "selected", missing.alias("missing"), flags.alias("flags"))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from lodeshift.plans.pipeline import compile_jobs, shortlist
+from lodeshift.operators import scoring as S
+from lodeshift.plans.pipeline import compile_jobs, job_profiles, shortlist
 from lodeshift.streaming.scoring import event_windows, rank_stored, score_arrivals
 
 JOB = "Senior Data Engineer\nRequired:\n- Must have strong Python\n- Apache Spark, SQL\nPreferred:\n- Kafka\nExperience\nMinimum 2 years of experience"
@@ -26,6 +27,23 @@ def test_shortlist(spark):
     assert sorted(r["rank"] for r in got.values()) == [1, 2, 3, 4, 5]
 
 
+def test_equal_jobs_are_ranked_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", STRONG), ("b", WEAK), ("c", None), ("d", BAD)], "candidate_id string, text string")
+    other = "Product Manager\nRequired:\n- Sales"
+    texts = [(f"j{i}", JOB) for i in range(6)] + [("k", other), ("m", "Product Manager"), (None, JOB)]
+    jobs = spark.createDataFrame(texts, "job_id string, text string")
+    members = {(r.profile, r.job_id) for r in job_profiles(jobs)[1].collect()}
+    assert members == {*(("j0", f"j{i}") for i in range(6)), ("k", "k"), ("m", "m")}
+    sorted_rows, rank = [], S.rank
+    monkeypatch.setattr(S, "rank", lambda cards, *a: sorted_rows.append(cards.columns[0]) or rank(cards, *a))
+    got = shortlist(docs, jobs, 60.0, 1).collect()
+    assert sorted_rows == ["profile"] and len(got) == 8 * 4
+    of = lambda job: sorted(tuple(r)[1:] for r in got if r.job_id == job)
+    assert all(of(f"j{i}") == of("j0") for i in range(6))
+    assert [(r[0], r[1]) for r in of("j3") if r[4]] == [(1, "a")] and sorted(r[0] for r in of("k")) == [1, 2, 3, 4]
+    assert {tuple(r[5]) for r in of("k")} == {("sales",)} and {tuple(r[5]) for r in of("m")} == {()}
+
+
 def test_arrivals(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("a", STRONG), ("b", WEAK)], "candidate_id string, text string").write.parquet(str(src))
