@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from lodeshift.operators import graph
 from lodeshift.operators.graph import connected_components
 
 
@@ -30,3 +33,14 @@ def test_components_match_union_find(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_few_edges_take_two_jobs_and_equal_the_rounds(spark, monkeypatch, few):
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or cut(df))
+    edges = [("é", "b"), ("b", "zz"), ("\U0001f600", "\uffee"), ("q", "q"), (None, "b"), ("y", None)] + [(f"n{i}", f"n{i + 1}") for i in range(100, 140)]
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == brute(edges)
+    assert (len(cuts) == 2) == (few > 0)
