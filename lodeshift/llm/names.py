@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeshift.llm.canonical import edits, shortened
-from lodeshift.operators.graph import connected_components
-from lodeshift.session import cut, shuffle_width, stored
+from lodeshift.operators.graph import FEW, components_of
+from lodeshift.session import cut, cut_counted, shuffle_width, stored
 
 # Entries that name no organisation.
 NOBODY = frozenset(
@@ -257,23 +257,38 @@ def _crossed_keys(profiles: DataFrame) -> DataFrame:
     return profiles.mapInPandas(spell, KEYS)
 
 
-def _merge(owners: DataFrame, links: DataFrame) -> DataFrame:
-    """(unit, id) with the ids of their components; links are (a, b) of ids."""
-    components = connected_components(links)
-    return cut(owners.join(components, owners.id == components.node, "left").select("unit", F.coalesce("component", "id").alias("id")))
+def _merge(units: DataFrame, links: DataFrame, few: bool) -> DataFrame:
+    """The units with the ids of their components, and whether those have ``grown``; links are distinct (a, b) of ids, a <> b."""
+    components = components_of(links, few)
+    merged = units.drop("grown").join(components, units.id == components.node, "left")
+    return cut(merged.withColumn("id", F.coalesce("component", "id")).withColumn("grown", F.col("component").isNotNull()).drop("node", "component"))
 
 
 def _stars(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """Each block's members linked to its smallest one."""
-    low = blocks.groupBy(*by).agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a <> top")
-    return blocks.join(low.drop("top"), by).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    """Each block's members linked to its smallest one, by one exchange; a link comes once a block."""
+    sets = blocks.groupBy(*by).agg(F.collect_set("id").alias("ids")).where("size(ids) > 1")
+    return sets.select(F.array_min("ids").alias("a"), F.explode("ids").alias("b")).where("a <> b")
 
 
-def _answers(asked: DataFrame, owned: DataFrame, by: list[str]) -> DataFrame:
-    """(a, b): each asking profile b with the one organisation a that has its keys; none where several have."""
-    single = owned.groupBy(*by).agg(F.min("id").alias("a"), F.max("id").alias("top"))
-    found = asked.join(single, by).where("not (a = id and top = id)")
-    return found.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"), F.max("top").alias("top")).where("a = top and a <> b").select("a", "b")
+def _answers(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): each profile b that ``asks`` with the one organisation a that has its keys; none where several have. Rows are
+    (sort, id, asks) and the columns ``by`` of the keys; each sort is answered by itself."""
+    held = F.when(~F.col("asks"), F.col("id"))
+    single = rows.groupBy("sort", *by).agg(F.min(held).alias("a"), F.max(held).alias("top"), F.collect_set(F.when(F.col("asks"), F.col("id"))).alias("ids"))
+    found = single.where("a is not null and size(ids) > 0").select("sort", "a", "top", F.explode("ids").alias("b")).where("not (a = b and top = b)")
+    return found.groupBy("sort", "b").agg(F.min("a").alias("a"), F.max("top").alias("top")).where("a = top and a <> b").select("a", "b")
+
+
+def _asked(keys: DataFrame, extra: DataFrame | None, units: DataFrame) -> DataFrame:
+    """(sort, field, key, id, asks) of all keys: initials and acronyms ask for whole names, those without a trade for the rest."""
+    sure = F.max(F.col("trade").isNotNull() | F.col("known").isNotNull()).over(Window.partitionBy("id"))
+    rows = keys.withColumn("own", F.lit(True))
+    if extra is not None:
+        rows = rows.unionByName(extra.withColumn("own", F.lit(False)))
+    rows = rows.select("unit", "sort", "field", "key", "own").join(units.select("unit", "id", sure.alias("sure")), "unit")
+    rows = rows.where("sort = 'closed' or (sort = 'open' and (not sure or key like '~%')) or (sort = 'strong' and (own or sure))")
+    asks = F.expr("sort = 'open' or (sort = 'strong' and not sure)")
+    return rows.select(F.expr("if(sort = 'strong', sort, 'short')").alias("sort"), "field", "key", "id", asks.alias("asks"))
 
 
 def resolve_names(names: DataFrame, aliases: list[tuple[str, str]], suffixes: list[str]) -> DataFrame:
@@ -293,46 +308,30 @@ def resolve_names(names: DataFrame, aliases: list[tuple[str, str]], suffixes: li
     unit = F.concat_ws("|", "field", F.coalesce("trade", F.lit("")), F.array_join(F.array_sort("core"), "+"))
     spelt = cut(parsed.withColumn("real", F.lit(True)).unionByName(seeds.withColumn("real", F.lit(False))).withColumn("unit", unit))
     units = spelt.groupBy("field", "unit").agg(F.sort_array(F.collect_set("core")).alias("cores"), F.max("trade").alias("trade"), F.max("capitals").alias("capitals"), F.max("known").alias("known"), F.collect_set("known").alias("said"))
-    units = cut(units)
-    keys = stored(_keys(units).repartition(shuffle_width(names.sparkSession), "unit"))
-    base, short = keys.where("sort = 'strong'"), cut(keys.where("sort <> 'strong'"))
-    owners = units.select("unit", F.col("unit").alias("id"))
+    units = cut(units.withColumn("id", F.col("unit")).withColumn("grown", F.lit(False)))
+    keys = stored(_keys(units.repartition(shuffle_width(names.sparkSession), "unit")))
+    base = keys.where("sort = 'strong'")
     # First round: known names and strong keys at once.
-    said = units.select("field", F.explode("said").alias("key"), F.col("unit").alias("id"))
+    said = units.select("field", F.lit(None).cast("string").alias("mark"), F.explode("said").alias("key"), "id")
     strong = base.select("field", "mark", "key", F.col("unit").alias("id"))
-    links = cut(_stars(said, ["field", "key"]).unionByName(_stars(strong, ["field", "mark", "key"])).distinct())
+    links, found = cut_counted(_stars(said.unionByName(strong), ["field", "mark", "key"]).distinct())
+    units = units.drop("said", "capitals")
     extra = None
     while True:
         # Rematch: merged profiles bring the words and initials of all their members, until none finds another.
-        while links.count():
-            before, owners = owners, _merge(owners, links)
-            moved = owners.join(before.withColumnRenamed("id", "old"), "unit").groupBy("id").agg(F.max(F.col("old") != F.col("id")).alias("moved")).where("moved").select("id")
-            grown = units.join(owners, "unit").join(moved, "id", "left_semi").groupBy("field", F.col("id").alias("unit")).agg(F.sort_array(F.collect_set(F.element_at("cores", 1))).alias("cores"), F.sort_array(F.collect_set("trade")).alias("trades"))
+        while found:
+            units = _merge(units, links, found <= FEW)
+            grown = units.where("grown").groupBy("field", F.col("id").alias("unit")).agg(F.sort_array(F.collect_set(F.element_at("cores", 1))).alias("cores"), F.sort_array(F.collect_set("trade")).alias("trades"))
             fresh = stored(_crossed_keys(grown.where("size(cores) > 1")))
             extra = fresh if extra is None else extra.unionByName(fresh)
             named = fresh.where("sort = 'strong'").select("field", "mark", "key", F.col("unit").alias("id"))
-            asked = named.select("field", "mark", "key").distinct()
-            held = base.join(asked, ["field", "mark", "key"], "left_semi").join(owners, "unit").select("field", "mark", "key", "id")
-            links = cut(_stars(held.unionByName(named).distinct(), ["field", "mark", "key"]))
-        traits = units.join(owners, "unit").groupBy("id").agg(F.max(F.col("trade").isNotNull() | F.col("known").isNotNull()).alias("sure"))
-        sided = cut(owners.join(traits, "id"))
+            held = base.join(named.drop("id"), ["field", "mark", "key"], "left_semi").join(units.select("unit", "id"), "unit").select("field", "mark", "key", "id")
+            links, found = cut_counted(_stars(held.unionByName(named), ["field", "mark", "key"]).distinct())
         # Spellings by initials and acronyms, and those without a trade, where a single organisation answers.
-        sort = lambda df, name: df.where(f"sort = '{name}'").join(sided, "unit").select("field", "key", "id", "sure")
-        more = None if extra is None else extra.join(sided, "unit").select("field", "sort", "key", "id", "sure").distinct()
-        closed = sort(short, "closed")
-        if more is not None:
-            closed = closed.unionByName(more.where("sort = 'closed'").drop("sort"))
-        asking = sort(short, "open").where("not sure or key like '~%'").distinct()
-        # Of all strong keys only those of the spellings without a trade are asked for.
-        loose = base.join(sided.where("not sure"), "unit").select("field", "key", "id").distinct()
-        owned = base.join(loose.select("field", "key").distinct(), ["field", "key"], "left_semi").join(sided.where("sure"), "unit").select("field", "key", "id")
-        if more is not None:
-            owned = owned.unionByName(more.where("sort = 'strong' and sure").select("field", "key", "id"))
-        links = cut(_answers(asking, closed, ["field", "key"]).unionByName(_answers(loose, owned, ["field", "key"])).distinct())
-        if not links.count():
+        links, found = cut_counted(_answers(_asked(keys, extra, units), ["field", "key"]).distinct())
+        if not found:
             break
-    real = spelt.where("real").select("field", "name", "unit").distinct()
-    return real.join(owners, "unit").select("field", "name", F.col("id").alias("organisation")).distinct()
+    return spelt.where("real").join(units.select("unit", "id"), "unit").select("field", "name", F.col("id").alias("organisation"))
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:

@@ -43,8 +43,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     rounds' many small jobs cost the driver more memory than such edges take.
     """
     known = cut(edges.where(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).select(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).distinct())
+    return components_of(known, is_bounded(known, FEW))
+
+
+def components_of(known: DataFrame, few: bool) -> DataFrame:
+    """As ``connected_components``, of edges (a, b) that are materialised, distinct and without NULL; ``few``: at most ``FEW``."""
     kinds = {kind for _, kind in known.dtypes}
-    if len(kinds) == 1 and kinds <= {"string", "bigint", "int"} and is_bounded(known, FEW):
+    if len(kinds) == 1 and kinds <= {"string", "bigint", "int"} and few:
         kind = kinds.pop()
         return cut(known.coalesce(1).mapInPandas(_united, f"node {kind}, component {kind}"))
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b")))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``cut``, with the number of rows, which the same job counts."""
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    return cut(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get["rows"]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a compressed columnar table in the shared folder: for wide or wordy frames."""
     spark = df.sparkSession
