@@ -42,7 +42,7 @@ def structure(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = Window.partitionBy("candidate_id").orderBy("line")
     placed = headed.withColumn("section", F.last("k", ignorenulls=True).over(order)).withColumn("last", F.last(F.when(F.col("header") | F.col("k").isNotNull(), F.struct("line", "header")), ignorenulls=True).over(order)).where("k is null")
     listed = F.coalesce((F.col("section") == "skills") | (F.size(F.split("t", "[,;|•]")) >= 4), F.lit(False))
-    body = placed.select("candidate_id", "section", "t", "line", "header", F.when(F.col("last.header"), F.col("last.line")).otherwise(0).alias("role"), listed.alias("listed"))
+    body = stored(placed.select("candidate_id", "section", "t", "line", "header", F.when(F.col("last.header"), F.col("last.line")).otherwise(0).alias("role"), listed.alias("listed")))
     profiles = body.groupBy("candidate_id").agg(F.collect_set("section").alias("sections"), F.sum(F.regexp_count("t", F.lit(_INJ))).alias("injected"))
     parts = F.split("t", r"\s*\|\s*")
     header = body.where("header").select("candidate_id", F.col("line").alias("role"), F.get(parts, F.lit(1)).alias("title"), split_range(F.element_at(parts, -1)).alias("r"))
@@ -117,6 +117,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_bounded(df, 100_000) else df
 
 
+FEW, CHUNK = 8, 500  # jobs of a profile whose rows are written where they were sorted; jobs that meet a row at once
+
+
+def _for_jobs(ranked: DataFrame, names: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ranked profiles, finished once and given to every job of the profile.
+
+    A profile may have most of the jobs, and its rows lie together, as they were sorted. Those of profiles with more than
+    ``FEW`` jobs are spread over all partitions before they are multiplied.
+    """
+    spark = ranked.sparkSession
+    sizes = members.groupBy("profile").agg(F.count("*").alias("n"))
+    some = F.pmod(F.xxhash64("job_id"), F.ceil(F.col("n") / CHUNK)).alias("some")
+    chunks = cut(members.join(sizes, "profile").groupBy("profile", "n", some).agg(F.collect_list("job_id").alias("jobs")))
+    none = F.array().cast("array<string>")
+    missing = F.array_except("names", F.coalesce("found", none)).alias("missing")
+    flags = F.when(F.col("flagged"), F.array(F.lit("PROMPT_INJECTION"))).otherwise(none).alias("flags")
+    row = ["rank", "candidate_id", "composite", "band", "selected", "missing", "flags"]
+
+    def given(rows: DataFrame, jobs: DataFrame) -> DataFrame:
+        whole = rows.join(_small(names), "profile").select("profile", "rank", "candidate_id", "composite", X.band(F.col("composite")).alias("band"), "selected", missing, flags)
+        return whole.join(_small(jobs.select("profile", "jobs")), "profile").select(F.explode("jobs").alias("job_id"), *row)
+
+    narrow = ranked.select("profile", "rank", "candidate_id", "composite", "selected", "found", "flagged")
+    few, many = chunks.where(F.col("n") <= FEW), chunks.where(F.col("n") > FEW)
+    spread = narrow.join(_small(many.select("profile").distinct()), "profile").repartition(shuffle_width(spark), "profile", "candidate_id")
+    return given(narrow, few).unionByName(given(spread, many))
+
+
 def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, top: int | None = None) -> DataFrame:
     """(job_id, rank, candidate_id, composite, band, selected, missing, flags) of every candidate for every job.
 
@@ -161,7 +189,4 @@ def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, to
     pairs = many.crossJoin(_small(profiles.select("profile", "base"))).withColumn("x", F.col("special")[F.col("profile")]).join(_small(plain), ["base", "kind"])
     own = lambda c: F.when(F.col("x").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(c)).alias(c)
     cards = pairs.select("profile", "candidate_id", "flagged", own("composite"), own("s1"), own("s4"), F.col("x.found").alias("found"), F.lit(1.0).alias("confidence"), F.lit(True).alias("eligible"))
-    ranked = S.rank(cards, threshold, top, "profile").join(_small(profiles.select("profile", "names")), "profile").join(_small(members), "profile")
-    missing = F.array_except("names", F.coalesce("found", none))
-    flags = F.when(F.col("flagged"), F.array(F.lit("PROMPT_INJECTION"))).otherwise(none)
-    return ranked.select("job_id", "rank", "candidate_id", "composite", X.band(F.col("composite")).alias("band"), "selected", missing.alias("missing"), flags.alias("flags"))
+    return _for_jobs(S.rank(cards, threshold, top, "profile"), profiles.select("profile", "names"), members)

@@ -44,6 +44,16 @@ def test_equal_jobs_are_ranked_once(spark, monkeypatch):
     assert {tuple(r[5]) for r in of("k")} == {("sales",)} and {tuple(r[5]) for r in of("m")} == {()}
 
 
+def test_rows_of_a_common_profile_are_spread(spark):
+    docs = spark.createDataFrame([(f"c{i:02}", STRONG if i % 3 else WEAK) for i in range(40)], "candidate_id string, text string")
+    jobs = [(f"k{i:02}", JOB) for i in range(30)] + [(f"a{i}", f"Product Manager\nRequired:\n- Sales\n- Tool{'xyzuvwrs'[i]}") for i in range(8)]
+    got = shortlist(docs, spark.createDataFrame(jobs, "job_id string, text string"), 60.0).withColumn("part", F.spark_partition_id()).collect()
+    assert len({(r.job_id, r.candidate_id) for r in got}) == len(got) == 38 * 40
+    assert all(sorted(r["rank"] for r in got if r.job_id == job) == [*range(1, 41)] for job in ("k00", "k29", "a0"))
+    common = [r.part for r in got if r.job_id[0] == "k"]
+    assert max(map(common.count, set(common))) < 0.6 * len(common)
+
+
 def test_arrivals(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("a", STRONG), ("b", WEAK)], "candidate_id string, text string").write.parquet(str(src))
