@@ -31,6 +31,7 @@ def compile_jobs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 LONGEST_NAME = 5  # words in the name of a skill, as the compiler makes them
+NAMED = "abcdefghijklmnopqrstuvwxyz0123456789+#/.-"  # listed, for Java looks up single characters at once but tries ranges one by one
 
 
 def structure(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,7 +44,8 @@ def structure(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = headed.withColumn("section", F.last("k", ignorenulls=True).over(order)).withColumn("last", F.last(F.when(F.col("header") | F.col("k").isNotNull(), F.struct("line", "header")), ignorenulls=True).over(order)).where("k is null")
     listed = F.coalesce((F.col("section") == "skills") | (F.size(F.split("t", "[,;|•]")) >= 4), F.lit(False))
     body = stored(placed.select("candidate_id", "section", "t", "line", "header", F.when(F.col("last.header"), F.col("last.line")).otherwise(0).alias("role"), listed.alias("listed")))
-    profiles = body.groupBy("candidate_id").agg(F.collect_set("section").alias("sections"), F.sum(F.regexp_count("t", F.lit(_INJ))).alias("injected"))
+    each = body.groupBy("candidate_id", "section").agg(F.sum(F.regexp_count("t", F.lit(_INJ))).alias("n"))  # a set over lines would sort their texts
+    profiles = each.groupBy("candidate_id").agg(F.collect_set("section").alias("sections"), F.sum("n").alias("injected"))
     parts = F.split("t", r"\s*\|\s*")
     header = body.where("header").select("candidate_id", F.col("line").alias("role"), F.get(parts, F.lit(1)).alias("title"), split_range(F.element_at(parts, -1)).alias("r"))
     a, b = parse_date(F.col("r.start"), RUN_DATE)["value"], parse_date(F.col("r.end"), RUN_DATE)["value"]
@@ -54,13 +56,20 @@ def structure(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def named_skills(lines: DataFrame, skills: DataFrame) -> DataFrame:
     """(candidate_id, role, listed, skill): which of the wanted names stand in which lines, as whole words.
 
-    The runs of up to ``LONGEST_NAME`` words of a line meet the distinct names by an equal join: texts never meet jobs.
+    Names meet lines by an equal join, on their first word if all names can be held, else on all runs of up to
+    ``LONGEST_NAME`` words of a line: texts never meet jobs.
     """
-    words = F.split(F.trim(F.regexp_replace(F.lower("t"), "[^a-z0-9+#/.-]+|[.]+(?= |$)", " ")), " +")
+    words = F.split(F.trim(F.regexp_replace(F.lower("t"), f"[^{NAMED}]+|[.]+(?= |$)", " ")), " +")
+    said, names = lines.select("candidate_id", "role", "listed", words.alias("w")), skills.select("skill").distinct()
+    if is_bounded(names, 100_000):
+        parts = F.split("skill", " ")
+        first = names.select("skill", F.get(parts, F.lit(0)).alias("word"), F.size(parts).alias("n")).where(F.col("n") <= LONGEST_NAME)
+        row = F.arrays_zip(*[F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(LONGEST_NAME)])
+        met = said.select("candidate_id", "role", "listed", F.explode(row).alias("x")).withColumn("word", F.col("x.w0")).join(F.broadcast(first), "word")
+        run = F.concat_ws(" ", "word", *[F.when(F.col("n") > i, F.col(f"x.w{i}")) for i in range(1, LONGEST_NAME)])
+        return met.where(run == F.col("skill")).select("candidate_id", "role", "listed", "skill").distinct()
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST_NAME)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    said = lines.withColumn("w", words).select("candidate_id", "role", "listed", F.explode(F.array_distinct(runs)).alias("skill"))
-    names = skills.select("skill").distinct()
-    return said.join(F.broadcast(names) if is_bounded(names, 100_000) else names, "skill").select("candidate_id", "role", "listed", "skill").distinct()
+    return said.select("candidate_id", "role", "listed", F.explode(F.array_distinct(runs)).alias("skill")).join(names, "skill").select("candidate_id", "role", "listed", "skill").distinct()
 
 
 def _total(kind: str):
@@ -185,7 +194,7 @@ def shortlist(documents: DataFrame, jobs: DataFrame, threshold: float = 70.0, to
     found = met.join(full.select("candidate_id", "lost", "flagged"), "candidate_id").join(few, "profile").join(_careers(dated, ["profile", "candidate_id"]), ["profile", "candidate_id"], "left")
     found = _scored(found, F.col("met"), F.col("likes")).groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("profile", F.struct("composite", "s1", "s4", "found")))).alias("special"))
     # All pairs, narrow: a profile's own score of a candidate, else that of the kind.
-    many = full.join(kinds.select("like", "kind"), "like").join(found, "candidate_id", "left").select("candidate_id", "kind", "flagged", "special")
+    many = stored(full.join(kinds.select("like", "kind"), "like").join(found, "candidate_id", "left").select("candidate_id", "kind", "flagged", "special"))
     pairs = many.crossJoin(_small(profiles.select("profile", "base"))).withColumn("x", F.col("special")[F.col("profile")]).join(_small(plain), ["base", "kind"])
     own = lambda c: F.when(F.col("x").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(c)).alias(c)
     cards = pairs.select("profile", "candidate_id", "flagged", own("composite"), own("s1"), own("s4"), F.col("x.found").alias("found"), F.lit(1.0).alias("confidence"), F.lit(True).alias("eligible"))
